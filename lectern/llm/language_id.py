@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import documents
+from lectern.shipping import map_arrow
 
 SLOTS = 1 << 15
 #: Documents a language that the model is fitted on, about: all if there are fewer, else those of the smallest text hashes.
@@ -67,7 +68,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> tuple[list[str], np.ndarra
         return [], np.zeros((0, SLOTS), np.float32)
     pick = F.element_at(F.create_map(*(F.lit(x) for kv in parts.items() for x in kv)), F.col("lang"))
     some = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < pick * float(1 << 30))
-    sums = some.mapInArrow(_counted, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
+    sums = map_arrow(some, _counted, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
     table = sums.toPandas()
     langs = sorted(table["lang"].unique())
     n = np.zeros((len(langs), SLOTS))
@@ -176,7 +177,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """
     langs, table = model
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(lambda it: _predicted(it, langs, table), f"{kinds}, lang_pred string, score double, langs string")
+    return map_arrow(docs, lambda it: _predicted(it, langs, table), f"{kinds}, lang_pred string, score double, langs string")
 
 
 def held_out(doc_id: str = "doc_id"):

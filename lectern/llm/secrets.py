@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import documents, materialise
+from lectern.shipping import map_arrow
 
 #: Fixed values of the base patterns.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -88,7 +89,7 @@ def scan_secrets(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataF
     """
     rows = documents(docs, "doc_id", "source", "text").withColumn("rid", F.monotonically_increasing_id())
     scanned = materialise(
-        rows.mapInArrow(_scan, f"rid long, doc_id long, owner string, base_sha256 string, found {SPAN}"), "secrets"
+        map_arrow(rows, _scan, f"rid long, doc_id long, owner string, base_sha256 string, found {SPAN}"), "secrets"
     )
     each = scanned.where(F.size("found") > 0).select("rid", F.coalesce("owner", F.lit("")).alias("owner"), F.explode("found").alias("f"))
     each = each.select("rid", "owner", "f.*")

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.common import documents, partitions
+from lectern.shipping import map_arrow
 
 MAGIC = b"LTK1"
 HEAD = struct.Struct("<4sB3x32s")
@@ -175,8 +176,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0)
         f.write(dictionary)
     rows = rows.withColumn("h", F.xxhash64("text"))
     rows = rows.repartitionByRange(partitions(spark), "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    told = rows.mapInArrow(
-        lambda it: _write_shard(it, tokenizer, folder, dictionary, end_id), "part long, name string, docs long, ids long"
+    told = map_arrow(rows, lambda it: _write_shard(it, tokenizer, folder, dictionary, end_id), "part long, name string, docs long, ids long"
     )
     shards, start = [], 0
     for r in sorted(told.collect(), key=lambda r: r["part"]):  # a row a shard
@@ -235,4 +235,4 @@ def read_tokens(spark: SparkSession, folder: str, shards: list[dict], with_ids:
     kinds = "part long, name string, docs long, ids long, start long"
     out = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
     table = spark.createDataFrame([tuple(s[k] for k in ("part", "name", "docs", "ids", "start")) for s in shards], kinds)
-    return table.repartition(max(1, len(shards)), "part").mapInArrow(lambda it: _read_shards(it, folder, with_ids), out)
+    return map_arrow(table.repartition(max(1, len(shards)), "part"), lambda it: _read_shards(it, folder, with_ids), out)
