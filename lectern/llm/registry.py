@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import decontaminate, language_id, mixing, secrets, token_output
+from lectern.llm import decontaminate, language_id, mixing, near_dedup, secrets, token_output
 from lectern.llm.common import documents, read, work_path
 from lectern.llm.exact_dedup import exact_dedup
 
@@ -25,6 +25,10 @@ def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(read(spark, sf_dir, "documents"))
 
 
+def op5_chosen_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(read(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"), keep="largest")
 
