@@ -163,21 +163,23 @@ def predict(texts: list[str | None], langs: list[str], known: Words) -> Iterator
 def _predicted(batches: Iterator[pa.RecordBatch], langs: list[str], table: np.ndarray) -> Iterator[pa.RecordBatch]:
     known = Words(table)
     for b in batches:
-        got = list(predict(b.column("text").to_pylist(), langs, known))
+        got = list(predict(b.column("__text").to_pylist(), langs, known))
         cols = [pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.string()))]
-        keep = [b.column(k) for k in range(b.num_columns)]
-        yield pa.RecordBatch.from_arrays([*keep, *cols], [*b.schema.names, "lang_pred", "score", "langs"])
+        keep = [b.column(k) for k in range(b.num_columns - 1)]
+        yield pa.RecordBatch.from_arrays([*keep, *cols], [*b.schema.names[:-1], "lang_pred", "score", "langs"])
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """``docs`` with lang_pred, score and langs (each language and its proportion).
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``carry`` columns with lang_pred, score and langs (each language and its proportion).
 
-    A null text, or one without a letter, is "und" with score 0. Ties go to the first language by name. Whole texts
-    are used; documents are independent, so nothing is shuffled.
+    A null text, or one without a letter, is "und" with score 0; without a model all are. Ties go to the first language by
+    name. Whole texts are used; documents are independent, so nothing is shuffled; other columns are ignored.
     """
     langs, table = model
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return map_arrow(docs, lambda it: _predicted(it, langs, table), f"{kinds}, lang_pred string, score double, langs string")
+    text = F.col("text").cast("string").alias("__text")
+    rows = docs.select(*carry, text)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return map_arrow(rows, lambda it: _predicted(it, langs, table), f"{kinds}, lang_pred string, score double, langs string")
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -316,7 +316,7 @@ def _leaves(sets: DataFrame, trees: int) -> tuple[DataFrame, DataFrame, bool]:
 
 
 def near_dedup(docs: DataFrame, percent: int = 80, trees: int = TREES) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+    """One row per input row: doc_id, n_shingles, component_id, kept, and key, the xxhash64 of the text.
 
     Two texts are linked if 100 * intersection >= percent * union of their sets of 2-word shingles, lower-cased; linked
     texts are of one component, named by its smallest doc_id. A null text, or one without words, has the empty set and is
@@ -370,7 +370,7 @@ def near_dedup(docs: DataFrame, percent: int = 80, trees: int = TREES) -> DataFr
         named = labelled.join(least, "label")
     out = signed.drop("sketch").join(named.select("same", F.col("component_id").alias("of")), "same", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("of"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.col("h").alias("key"))
 
 
 def _rest(search: _Search, large: DataFrame, s8: DataFrame) -> DataFrame:

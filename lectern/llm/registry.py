@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import decontaminate, language_id, mixing, near_dedup, secrets, suffix_dedup, token_output
+from lectern.llm import decontaminate, html_text, language_id, line_dedup, mixing, near_dedup, secrets, suffix_dedup, token_output
 from lectern.llm.common import documents, read, work_path
 from lectern.llm.exact_dedup import exact_dedup
 
@@ -25,12 +25,20 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(read(spark, sf_dir, "pages"))
+
+
 def op4_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(read(spark, sf_dir, "documents"))
 
 
 def op5_chosen_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_dedup(read(spark, sf_dir, "documents"))
+    return near_dedup.near_dedup(read(spark, sf_dir, "documents")).drop("key")
+
+
+def op6_line_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(read(spark, sf_dir, "documents"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,8 +58,7 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = language_id.fit(language_id.learners(docs))
-    rows = documents(docs, "doc_id", "text")
-    found = language_id.identify(rows, model)
+    found = language_id.identify(documents(docs, "doc_id", "text"), model)
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score", "langs")
 
 
@@ -77,6 +84,14 @@ SQL = {
         SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(it.n, 0)::BIGINT AS n_items,
                sha256(coalesce(it.ids, '')) AS items_sha256, coalesce(hit.n, 0) > 0 AS contaminated
         FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    "op6_line_sites": f"""
+        WITH l AS (SELECT doc_id, coalesce('s' || source, 'null') AS site, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                          unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents),
+        gone AS (SELECT line FROM l WHERE length(trim(line)) > 0 GROUP BY line HAVING count(DISTINCT site) >= {line_dedup.SITES}),
+        m AS (SELECT doc_id, line, pos, line IN (SELECT line FROM gone) AS g FROM l)
+        SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (g)::BIGINT AS n_removed,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT g), '')) AS kept_sha256
+        FROM m GROUP BY doc_id""",
     "op7_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
