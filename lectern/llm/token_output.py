@@ -64,11 +64,28 @@ class Encoder:
             and not spec.get("normalizer") and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
             and not any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens", ()))
         )
+        begins = [t.startswith("\u0120") for t, _ in sorted(self.library.get_vocab().items(), key=lambda x: x[1])]
+        #: Whether an id's bytes begin with a space.
+        self.spaced = np.array(begins if self.cuts else [], bool)
         self.width = 2 if self.library.get_vocab_size() <= 65_536 else 4
         self.known: dict[str, bytes] = {}
         self.odd = re.compile(r" (?:\s|\Z)").search
         self.cut = re.compile(r"(?= \S)").split
 
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, none of which holds a space: many are encoded in a row, an id that begins with a space begins one."""
+        out: list[bytes] = []
+        rows = [pieces[k : k + 1000] for k in range(0, len(pieces), 1000)]
+        for row, e in zip(rows, self.library.encode_batch_fast([" " + " ".join(r) for r in rows], add_special_tokens=False), strict=True):
+            ids = np.asarray(e.ids, "<u4")
+            at = (np.flatnonzero(self.spaced[ids]) * 4).tolist()
+            if len(at) != len(row):
+                out += self._plain([" " + p for p in row])
+                continue
+            b = ids.tobytes()
+            out += [b[i:j] for i, j in zip(at, [*at[1:], len(b)], strict=True)]
+        return out
+
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -79,15 +96,17 @@ class Encoder:
             return
         for some in _by_size(texts, 4_000_000):
             odd = [self.odd(t) is not None for t in some]
-            # a piece stands for itself with a space before it; the first of a text and those of odd texts are marked
+            # a piece stands for itself with a space before it; the first of a text and those of odd texts are as they are, behind a space as a mark
             pieces = [
-                ["\0" + p for p in self.cut(t)] if o else (lambda p: ["\0" + p[0], *p[1:]])(t.split(" "))
+                [" " + p for p in self.cut(t)] if o else (lambda p: [" " + p[0], *p[1:]])(t.split(" "))
                 for t, o in zip(some, odd, strict=True)
             ]
             if len(self.known) > MEMO:
                 self.known.clear()
             new = list(set().union(*pieces).difference(self.known))
-            self.known.update(zip(new, self._plain([p[1:] if p[:1] == "\0" else " " + p for p in new]), strict=True))
+            first, rest = [p for p in new if p[:1] == " "], [p for p in new if p[:1] != " "]
+            self.known.update(zip(first, self._plain([p[1:] for p in first]), strict=True))
+            self.known.update(zip(rest, self._pieces(rest), strict=True))
             for p in pieces:
                 yield b"".join(map(self.known.__getitem__, p))
 
@@ -111,12 +130,14 @@ def encoder(path: str) -> Encoder:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
-    """A dictionary from the id arrays of a bounded number of documents, those of the smallest text hashes; b"" if too few."""
+    """A dictionary from the id arrays of about SAMPLE_DOCS different documents, picked by a hash; b"" if too few."""
     import zstandard
 
-    short = docs.where(F.length("text").between(1, 20_000)).select("text").orderBy(F.xxhash64("text")).limit(SAMPLE_DOCS)
+    share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
+    short = docs.where(F.length("text").between(1, 20_000)).select("text", F.xxhash64("text").alias("h"))
+    picked = short.where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).dropDuplicates(["h"]).limit(2 * SAMPLE_DOCS)
     texts, n = [], 0
-    for (t,) in short.collect():
+    for t, _ in sorted(picked.collect(), key=lambda r: r[1]):
         n += len(t)
         if n <= SAMPLE_BYTES:
             texts.append(t)
