@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.plans import lexis, library
+from lectern.plans import course, evidence, lexis, library
 
-MODULES = (library, lexis)
+MODULES = (library, lexis, evidence, course)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

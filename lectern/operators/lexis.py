@@ -18,7 +18,7 @@ def is_known(status: Column) -> Column:
 
 def familiarity(status: Column, encounters: Column, days: Column, lookups: Column, last_seen: Column, last_lookup: Column) -> Column:
     """known, likely-familiar (4 encounters on 2 days, no lookup in the 36 hours before the last), met, or new."""
-    quiet = last_lookup.isNull() | (F.unix_micros(last_seen) - F.unix_micros(last_lookup) >= FAMILIAR["quiet_hours"] * 3_600_000_000)
+    quiet = last_lookup.isNull() | (F.unix_micros(last_seen.cast("timestamp")) - F.unix_micros(last_lookup.cast("timestamp")) >= FAMILIAR["quiet_hours"] * 3_600_000_000)
     likely = (encounters >= FAMILIAR["encounters"]) & (days >= FAMILIAR["days"]) & quiet
     met = (encounters > 0) | (lookups > 0)
     return F.when(is_known(status), "known").when(likely, "likely-familiar").when(met, "met").otherwise("new")
