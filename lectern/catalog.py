@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.plans import course, evidence, lexis, library
+from lectern.plans import course, evidence, lexicon, lexis, library
 
-MODULES = (library, lexis, evidence, course)
+MODULES = (library, lexis, evidence, course, lexicon)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
