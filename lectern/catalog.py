@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.plans import course, evidence, lexicon, lexis, library
+from lectern.plans import course, evidence, lexicon, lexis, library, quality
 
-MODULES = (library, lexis, evidence, course, lexicon)
+MODULES = (library, lexis, evidence, course, lexicon, quality)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

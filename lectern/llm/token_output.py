@@ -35,8 +35,8 @@ ROW = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("length",
 FOOT = struct.Struct("<QQQ4s")
 #: Documents and bytes of them that the dictionary is trained on; it changes sizes, never ids.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1500, 4_000_000, 64 * 1024
-#: Distinct pieces that a worker remembers.
-MEMO = 800_000
+#: Distinct pieces that a worker remembers (about 200 bytes each), and the length of those that stay when there are more.
+MEMO, FREQUENT = 1_500_000, 6
 
 _encoders: dict[str, Encoder] = {}
 
@@ -102,7 +102,9 @@ class Encoder:
                 for t, o in zip(some, odd, strict=True)
             ]
             if len(self.known) > MEMO:
-                self.known.clear()
+                self.known = {p: b for p, b in self.known.items() if len(p) <= FREQUENT}
+                if len(self.known) > MEMO // 2:
+                    self.known.clear()
             new = list(set().union(*pieces).difference(self.known))
             first, rest = [p for p in new if p[:1] == " "], [p for p in new if p[:1] != " "]
             self.known.update(zip(first, self._plain([p[1:] for p in first]), strict=True))
