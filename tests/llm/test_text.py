@@ -106,7 +106,7 @@ def test_secrets(spark):
         (9, "ſecret=abcdefghij paſsword=abcdefghij", None, "a"),
     ]
     got = {r.doc_id: r for r in secrets.scan_secrets(frame(spark, found)).collect()}
-    assert got[1].spans == "assign:0:22,assign:29:46" and got[1].base_sha256 == sha(got[1].spans) and got[1].n_assign == 2
+    assert got[1].spans == "assign:0:21,assign:29:46" and got[1].base_sha256 == sha(got[1].spans) and got[1].n_assign == 2
     assert got[2].spans == "access:0:16,hex:23:55" and (got[2].n_access, got[2].n_hex) == (1, 1)
     assert got[3].spans == "owned:4:24" and got[4].spans == "owned:6:26" and got[3].base_sha256 == sha("")
     assert got[5].spans == got[6].spans == "" and got[5].n_example == 1
