@@ -3,7 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lectern.functions import drills, greek, html, labels, morph, snippet, text, tokenizer, unicode
+from lectern.functions import drills, greek, html, labels, morph, ocr, snippet, text, tokenizer, unicode
 from lectern.functions.reference import parse_reference
 
 
@@ -123,3 +123,18 @@ def test_sanitiser(spark):
     dirty = '<p onclick="x">a<script>alert(1)</script><b>b<a href="javascript:x" title="t">c</a><img src=x>d & e'
     assert html.sanitise(dirty) == "<p>a<b>b<a>c</a>d &amp; e</b></p>"
     assert values(spark, [(dirty, None), (html.sanitise(dirty), None)], html.unsafe(F.col("a"))) == [(True,), (False,)]
+
+
+def test_ocr(spark):
+    got = values(spark, [("quae-\nstio prima ,est;sic ■ Аrs", None), ("XIV", None), ("LIBER I. CAP", None), ("Deus est bonum.", None)], ocr.repair(F.col("a")), ocr.noise_line(F.col("a")))
+    assert got[0][0] == "quaestio prima, est; sic Ars"
+    assert [g[1] for g in got] == [False, True, True, False]
+    titles = values(spark, [("Utrum Deus sit", None), ("Utrum 3 sint", None), ("Deus", None)], ocr.plausible_title(F.col("a")), ocr.truncated(F.col("a"), 10))
+    assert titles == [(True, False), (False, False), (False, True)]
+
+
+def test_enumerations(spark):
+    s = "Et primo, dicendum. Circa hoc quaeruntur tria: primo, utrum X; secundo, utrum Y; tertio, an Z. Finis."
+    assert ocr.enumeration(s) == ["utrum X", "utrum Y", "an Z"]
+    assert ocr.enumeration("nihil") == []
+    assert values(spark, [(s, None)], ocr.enumerations(F.col("a"))) == [(["utrum X", "utrum Y", "an Z"],)]
