@@ -199,7 +199,10 @@ def test_language(spark):
     assert right >= 0.95
     assert [(got[k].lang_pred, got[k].score) for k in (900, 901, 902)] == [("und", 0.0)] * 3
     assert got[None].lang_pred in ALPHABET and all(0 <= r.score <= 1 for r in got.values())
-    assert got[903].lang_pred == "aa" and abs(got[903].score - 0.75) < 0.1 and "cc:" in got[903].langs and "bb:" not in got[903].langs
+    shares = {k: float(v) for k, v in (x.split(":") for x in got[903].langs.split(","))}
+    assert got[903].lang_pred == "aa" and abs(shares["aa"] - 0.75) < 0.1 and abs(shares["cc"] - 0.25) < 0.1 and shares.get("bb", 0) < 0.05
+    pure = language_id.identify(frame(spark, [(1, spoken(rng, "bb", 400), None, None)]), model).first()
+    assert (pure.lang_pred, pure.langs) == ("bb", "bb:1.00")
     held = frame(spark, found).select("doc_id", language_id.held_out().alias("h")).collect()
     assert {r.doc_id for r in held if r.h} == set(out)
 
