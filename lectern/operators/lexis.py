@@ -38,15 +38,22 @@ def core_words(counts: DataFrame, names: DataFrame, group: str, lemma: str, n: i
     return top.join(words, group).withColumn("share", F.col("n") / F.col("words")).drop("words")
 
 
-def names(surfaces: DataFrame, group: list[str], key: str, surface: str, order: list[str]) -> DataFrame:
-    """(group, key, name): keys mostly written with a capital; the commonest capitalised surface, the first one on ties."""
+def surface_counts(surfaces: DataFrame, group: list[str], surface: str, order: list[str]) -> DataFrame:
+    """(group, surface, n, first): counted before anything is done to a surface, so that it is done once."""
+    return surfaces.groupBy(*group, surface).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("first"))
+
+
+def names(per: DataFrame, group: list[str], key: str, surface: str) -> DataFrame:
+    """(group, key, name, n): keys mostly written with a capital; the commonest capitalised surface, the first one on ties.
+
+    per is ``surface_counts`` with a key.
+    """
     capital = F.col(surface).rlike(r"^\p{Lu}")
-    per = surfaces.groupBy(*group, key, surface).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("first"))
     totals = per.groupBy(*group, key).agg(
         F.sum("n").alias("all"), F.sum(F.when(capital, F.col("n")).otherwise(0)).alias("capitals"),
-        F.min(F.when(capital, F.struct((-F.col("n")).alias("n"), "first", surface))).alias("best"),
+        F.min(F.when(capital, F.struct((-F.col("n")).alias("m"), "first", surface))).alias("best"),
     )
-    return totals.where(F.col("capitals") * 2 > F.col("all")).select(*group, key, F.col(f"best.{surface}").alias("name"), "all")
+    return totals.where(F.col("capitals") * 2 > F.col("all")).select(*group, key, F.col(f"best.{surface}").alias("name"), F.col("all").alias("n"))
 
 
 def division_coverage(tokens: DataFrame, lexicon: DataFrame, text: list[str], key: str) -> DataFrame:
@@ -94,7 +101,6 @@ def readings(tokens: DataFrame, forms: DataFrame, key: str, folded: str) -> Data
     return j.withColumn("lexeme", F.coalesce("by_key", "by_fold")).withColumn("tier", tier).drop("by_key", "by_fold")
 
 
-def surface_dictionary(surfaces: DataFrame, group: str, key: str, surface: str) -> DataFrame:
-    """(group, key, n, forms): count of a key, and a map of its surfaces with theirs."""
-    per = surfaces.groupBy(group, key, surface).agg(F.count(F.lit(1)).alias("n"))
+def surface_dictionary(per: DataFrame, group: str, key: str, surface: str) -> DataFrame:
+    """(group, key, n, forms): count of a key, and a map of its surfaces with theirs; per is ``surface_counts`` with a key."""
     return per.groupBy(group, key).agg(F.sum("n").alias("n"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(surface, F.col("n").alias("c"))))).alias("forms"))

@@ -25,7 +25,13 @@ def rank_of(folded: Column, query: str) -> Column:
 
 def search(records: DataFrame, query: str, order: list[Column], limit: int = 200, folded: str = "folded") -> DataFrame:
     """Records with a rank, best first, then in corpus order. The limit is the feature: a top-k that partitions keep apart."""
-    return records.withColumn("rank", rank_of(F.col(folded), query)).where("rank is not null").orderBy("rank", *order).limit(limit)
+    return ranked(records, query, folded).orderBy("rank", *order).limit(limit)
+
+
+def ranked(records: DataFrame, query: str, folded: str = "folded") -> DataFrame:
+    """Records with a rank. A filter on the rank would be pushed below the folding and repeat it, so a generator drops the rest."""
+    ranks = F.transform(F.array(F.col(folded)), lambda f: rank_of(f, query))
+    return records.withColumn("rank", F.explode(F.filter(ranks, lambda r: r.isNotNull())))
 
 
 def scan(passages: DataFrame, query: str, order: list[str], limit: int = 60) -> DataFrame:

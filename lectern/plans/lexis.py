@@ -28,14 +28,15 @@ def query(statement: str | None = None):
 
 
 def keyed_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.surfaces(spark, sf_dir).withColumn("key", fold(F.col("surface")))
+    per = lexis.surface_counts(tables.surfaces(spark, sf_dir), ["lang"], "surface", ["work_id", "pos"])
+    return per.withColumn("key", fold(F.col("surface")))
 
 
 _KEYED = f"{sql.SURFACES}, ks AS (SELECT *, {sql.fold('surface')} AS key FROM surfaces)"
 
 
 def name_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexis.names(keyed_surfaces(spark, sf_dir), ["lang"], "key", "surface", ["work_id", "pos"])
+    return lexis.names(keyed_surfaces(spark, sf_dir), ["lang"], "key", "surface")
 
 
 _PER = "per AS (SELECT lang, key, surface, count(*) AS n, min((work_id, pos)) AS f, regexp_matches(surface, '^\\p{Lu}') AS cap FROM ks GROUP BY lang, key, surface)"
@@ -46,7 +47,7 @@ _NAMES = f"""{_KEYED}, {_PER}, tot AS (SELECT lang, key, sum(n) AS total, sum(CA
 
 @query(f"WITH {_NAMES} SELECT lang, key, name, total::BIGINT AS n FROM names")
 def proper_name_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return name_keys(spark, sf_dir).withColumnRenamed("all", "n")
+    return name_keys(spark, sf_dir)
 
 
 @query(f"WITH {sql.TOKENS} SELECT lang, count(*) AS tokens, count(DISTINCT key) AS forms, count(DISTINCT work_id) AS works, count(*) / count(DISTINCT key) AS per_form FROM tokens GROUP BY lang")

@@ -39,8 +39,8 @@ def search_phrase_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT rank::INT AS rank, count(*) AS n FROM ({_RANKED}) WHERE rank IS NOT NULL GROUP BY rank")
 def search_rank_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(search.rank_of(fold(F.col("text")), NEEDLE).alias("rank"))
-    return docs.where("rank is not null").groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
+    docs = search.ranked(table(spark, sf_dir, "documents").select(fold(F.col("text")).alias("folded")), NEEDLE)
+    return docs.groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH {sql.PASSAGES}, h AS (SELECT *, {sql.fold('text')} AS f FROM passages),

@@ -9,9 +9,20 @@ from lectern.functions.text import fold, word_tokens
 from lectern.shipping import ship
 
 
+#: Tables whose rows are texts, so that work a row is worth spreading.
+TEXTS = ("documents", "conversations", "pages")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files give fewer partitions than there are; larger inputs stay as they were read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXTS else df
 
 
 def works(spark: SparkSession, sf_dir: str) -> DataFrame:
