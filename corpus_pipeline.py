@@ -14,8 +14,8 @@ from lectern.llm.common import materialise, read, small, work_path
 from lectern.llm.registry import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A document's largest language must have this share of it.
-LANGUAGE_SCORE = 0.5
+#: A document's largest language must have this share of it; bilingual documents stay, texts that no language explains go.
+LANGUAGE_SCORE = 0.33
 #: A document of which more than this share lies in benchmark passages goes as a whole.
 HIT_SHARE = 0.5
 
@@ -26,7 +26,7 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without a language that makes up half of them, go; lang becomes the prediction."""
+    """Documents without a letter, or without a language that makes up a third of them, go; lang becomes the prediction."""
     docs = _columns(docs)
     model = language_id.fit(language_id.learners(docs))
     found = language_id.identify(docs, model, carry=COLUMNS)
