@@ -3,7 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lectern.functions import drills, greek, html, labels, morph, ocr, snippet, text, tokenizer, unicode
+from lectern.functions import drills, greek, html, labels, morph, ocr, snippet, tags, text, tokenizer, unicode
 from lectern.functions.reference import parse_reference
 
 
@@ -138,3 +138,32 @@ def test_enumerations(spark):
     assert ocr.enumeration(s) == ["utrum X", "utrum Y", "an Z"]
     assert ocr.enumeration("nihil") == []
     assert values(spark, [(s, None)], ocr.enumerations(F.col("a"))) == [(["utrum X", "utrum Y", "an Z"],)]
+
+
+CELLS = [
+    (["genitive", "singular"], "gen sg m", ["gen sg"], None), (["feminine", "masculine", "plural", "vocative"], "voc pl m", ["voc pl m", "voc pl f"], None), (["ablative"], "abl sg m", ["abl sg"], None),
+    (["present", "active", "indicative", "third-person", "singular"], None, [], "pres ind act 3 sg"), (["future", "perfect", "indicative", "first-person", "plural"], None, [], "futperf ind act 1 pl"),
+    (["perfect", "passive", "participle"], None, [], "ptcp perf pass nom sg m"), (["future", "passive", "participle"], None, [], "gdv nom sg m"), (["perfect", "infinitive"], None, [], "perf inf act"),
+    (["gerund", "ablative"], "abl sg m", ["abl sg"], "ger abl"), (["imperative", "future", "second-person", "singular"], None, [], "fut imp act 2 sg"), (["indicative", "sigmatic"], None, [], None),
+]
+
+
+def test_cells(spark):
+    df = spark.createDataFrame([(k, c[0]) for k, c in enumerate(CELLS)], "k int, t array<string>").orderBy("k")
+    t = F.col("t")
+    got = df.select(tags.nominal(t, F.lit("m")).alias("n"), tags.adjectival(t, F.lit(None).cast("string")).alias("a"), tags.verbal(t).alias("v")).collect()
+    assert [(r.n, r.a) for r in got] == [(c[1], c[2]) for c in CELLS]
+    assert [r.v for r in got][3:] == [c[3] for c in CELLS][3:]
+
+
+def test_tag_orders_and_glosses(spark):
+    morphs = ["gen sg m", "acc pl m", "pres inf act", "perf ind act 3 pl", "adv"]
+    keys = [k for (k,) in values(spark, [(m, None) for m in morphs], tags.sort_key(F.col("a")))]
+    assert keys == [2, 11, 100, 111, 199]
+    it = spark.createDataFrame([(["plural", "participle", "feminine", "present"],), (["singular", "third-person", "historic", "indicative", "odd"],)], "t array<string>")
+    assert [r[0] for r in it.select(tags.italian(F.col("t"))).collect()] == ["ptcp pres pl f", "perf ind 3 sg"]
+    rows = [("(poetic) to burn", None), ("alternative form of amo (obsolete)", None), ("Misspelling of volo", None), ("comparative degree of bonus:", None), (None, None)]
+    got = values(spark, rows, tags.clean_gloss(F.col("a")), tags.form_of(F.col("a")))
+    assert [g[0] for g in got][0] == "to burn" and [g[1] for g in got] == [None, "amo", "volo", "bonus", None]
+    assert values(spark, [("amō", None), ("-que", None), ("a b", None), ("x" * 31, None)], tags.valid_lemma(F.col("a"))) == [(True,), (False,), (False,), (False,)]
+    assert tags.elisions(spark).count() == 35
