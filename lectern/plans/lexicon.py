@@ -97,7 +97,7 @@ def gloss_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.tokens(spark, sf_dir).select("key").distinct()
+    return tables.vocabulary(spark, sf_dir).select("key").distinct()
 
 
 _KEYS = f"{sql.TOKENS}, keys AS (SELECT DISTINCT key FROM tokens)"

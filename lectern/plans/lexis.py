@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.greek import transliterate
 from lectern.functions.morph import describe
-from lectern.functions.text import fold, sentences
+from lectern.functions.text import fold, sentences, word_tokens
 from lectern.functions.tokenizer import tokens as tokenize
 from lectern.operators import lexis
 from lectern.sources import sql, tables
@@ -52,10 +52,11 @@ def proper_name_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {sql.TOKENS} SELECT lang, count(*) AS tokens, count(DISTINCT key) AS forms, count(DISTINCT work_id) AS works, count(*) / count(DISTINCT key) AS per_form FROM tokens GROUP BY lang")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.tokens(spark, sf_dir).groupBy("lang").agg(
-        F.count(F.lit(1)).alias("tokens"), F.countDistinct("key").alias("forms"), F.countDistinct("work_id").alias("works"),
-        (F.count(F.lit(1)) / F.countDistinct("key")).alias("per_form"),
-    )
+    words = F.size(word_tokens(fold(F.col("text"))))
+    d = table(spark, sf_dir, "documents").select("lang", "doc_id", words.alias("n")).where("n > 0")
+    running = d.groupBy("lang").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("works"))
+    forms = tables.vocabulary(spark, sf_dir).select("lang", "key").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("forms"))
+    return running.join(forms, "lang").select("lang", "tokens", "forms", "works", (F.col("tokens") / F.col("forms")).alias("per_form"))
 
 
 def core(spark: SparkSession, sf_dir: str, n: int = CORE) -> DataFrame:
@@ -75,7 +76,7 @@ def core_words_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(key, lexeme, known): words of three works at least; those that are core in some language count as known."""
-    t = tables.tokens(spark, sf_dir).select("work_id", "key").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("works")).where("works >= 3")
+    t = tables.vocabulary(spark, sf_dir).groupBy("key").agg(F.count(F.lit(1)).alias("works")).where("works >= 3")
     known = core(spark, sf_dir).select("key").distinct().withColumn("core", F.lit(True))
     return t.join(known, "key", "left").select("key", F.col("key").alias("lexeme"), F.coalesce("core", F.lit(False)).alias("known"))
 

@@ -44,6 +44,12 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("work_id"), F.col("source").alias("author"), "lang", F.explode(word_tokens(fold(F.col("text")))).alias("key"))
 
 
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(work_id, lang, key): the different words of each work, made distinct where the work is read."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("work_id"), "lang", F.explode(F.array_distinct(word_tokens(fold(F.col("text"))))).alias("key"))
+
+
 def surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(work_id, lang, pos, surface): running words as they are written."""
     d = table(spark, sf_dir, "documents")
