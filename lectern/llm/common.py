@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.sources.tables import spread
+
 #: Rows up to which a narrow table (a few longs a row) may be broadcast; beyond it a shuffle join is planned.
 BROADCAST_ROWS = 200_000
 
@@ -75,4 +77,5 @@ def documents(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table; one in fewer parts than there are cores is spread over them."""
+    return spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
