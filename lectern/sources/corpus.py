@@ -201,6 +201,41 @@ def plain_paragraphs(source: str, size: int = 1500) -> list[str]:
     return out
 
 
+_act, _scene = re.compile(r"\s*ACT\s+([IVXLC]+|\d+)\b.*"), re.compile(r"\s*SCENE\s+([IVXLC]+|\d+)\b.*", re.IGNORECASE)
+_speaker = re.compile(r"\s*([A-Z][A-Z' .-]{1,40}?)\.\s*(.*)")
+_stage = re.compile(r"\s*(?:\[.*\]|\(.*\)|(?:Enter|Re-enter|Exit|Exeunt|Flourish|Alarum)\b.*)\s*")
+
+
+def play_lines(source: str) -> list[tuple[str, str]]:
+    """(place and speaker, text) of a play: "act.scene NAME" for speeches, "act.scene" for stage directions.
+
+    A contents block names the first act before the play does; what is before its last first act is left out. A speech is
+    its speaker's lines up to the next speaker, direction or heading.
+    """
+    lines = source.split("\n")
+    firsts = [k for k, x in enumerate(lines) if (m := _act.fullmatch(x)) and m[1] in ("I", "1")]
+    act = scene = ""
+    out: list[tuple[str, list[str]]] = []
+    for line in lines[firsts[-1] if firsts else 0 :]:
+        place = ".".join(filter(None, (act, scene)))
+        if m := _act.fullmatch(line):
+            act, scene = m[1], ""
+            out.append(("", []))
+        elif m := _scene.fullmatch(line):
+            scene = m[1].upper()
+            out.append(("", []))
+        elif not line.strip():
+            continue
+        elif _stage.fullmatch(line):
+            out.append((place, [line.strip().strip("[]()")]))
+            out.append(("", []))
+        elif m := _speaker.fullmatch(line):
+            out.append((f"{place} {m[1].strip()}".strip(), [m[2].strip()] if m[2].strip() else []))
+        elif out and out[-1][0]:
+            out[-1][1].append(line.strip())
+    return [(head, "\n".join(text)) for head, text in out if head and text]
+
+
 def _parsed(batches: Iterator[pa.RecordBatch], form: str) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("head", pa.string()), ("text", pa.string())])
     for b in batches:
@@ -210,6 +245,8 @@ def _parsed(batches: Iterator[pa.RecordBatch], form: str) -> Iterator[pa.RecordB
                 found = [(r["path"], r["text"]) for r in walk_tei(s or "")]
             elif form == "wikitext":
                 found = wikitext_chapters(s or "")
+            elif form == "play":
+                found = play_lines(s or "")
             else:
                 found = [("", p) for p in plain_paragraphs(s or "")]
             rows += [{"id": i, "n": n, "head": h, "text": t} for n, (h, t) in enumerate(found)]
@@ -217,6 +254,6 @@ def _parsed(batches: Iterator[pa.RecordBatch], form: str) -> Iterator[pa.RecordB
 
 
 def parse(files: DataFrame, form: str) -> DataFrame:
-    """(id, n, head, text) of (id, source): "tei", "wikitext" or "plain"; a file is parsed by one task, files in parallel."""
+    """(id, n, head, text) of (id, source): "tei", "wikitext", "play" or "plain"; a file is parsed by one task, files in parallel."""
     rows = files.select(F.col("id").cast("long"), F.col("source").cast("string"))
     return map_arrow(rows, lambda it: _parsed(it, form), "id long, n int, head string, text string")

@@ -60,6 +60,12 @@ def test_markup(spark):
     assert [tuple(r) for r in corpus.parse(df, "wikitext").collect()] == [(1, 0, "", "intro verba X"), (1, 1, "Chapter", "text b")]
 
 
+def test_plays():
+    text = "CONTENTS\nACT I\nSCENE I. A street.\n\nACT I\nSCENE I. A street.\n[Enter two men.]\nFIRST MAN. Who goes?\nSpeak now.\n\nSECOND MAN.\nA friend.\nExeunt\nSCENE II. A hall.\nKING. Come."
+    assert corpus.play_lines(text) == [("I.I", "Enter two men."), ("I.I FIRST MAN", "Who goes?\nSpeak now."), ("I.I SECOND MAN", "A friend."), ("I.I", "Exeunt"), ("I.II KING", "Come.")]
+    assert corpus.play_lines("") == []
+
+
 def test_streams_equal_batch(spark, tmp_path):
     start = datetime(2024, 1, 1)
     log = [(n, n % 3, start + timedelta(hours=5 * n), "lookup" if n % 7 == 0 else "encounter", n % 4, n % 2, 10) for n in range(60)]
