@@ -35,8 +35,8 @@ ROW = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("length",
 FOOT = struct.Struct("<QQQ4s")
 #: Documents and bytes of them that the dictionary is trained on; it changes sizes, never ids.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1500, 4_000_000, 64 * 1024
-#: Distinct pieces that a worker remembers (about 200 bytes each), and the length of those that stay when there are more.
-MEMO, FREQUENT = 1_500_000, 6
+#: Distinct pieces that a worker remembers (about 140 bytes each; more would double the table's size), and the length of those that stay when there are more.
+MEMO, FREQUENT = 1_200_000, 6
 
 _encoders: dict[str, Encoder] = {}
 
