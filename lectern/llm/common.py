@@ -67,6 +67,24 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+_owner = None
+
+
+def claim(clear) -> None:
+    """In a Python worker: ``clear`` empties what the calling operator remembers there; what another one remembered goes now.
+
+    Workers are used again by whatever runs next, so only one operator's memory is held at a time.
+    """
+    global _owner
+    if _owner is not None and _owner != clear:
+        _owner()
+    _owner = clear
+
+
+def nothing() -> None:
+    """For operators that remember nothing."""
+
+
 def documents(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that further columns of any name can't clash; a column that is absent is null."""
     kinds = {"text": "string", "lang": "string", "source": "string", "doc_id": "long"}

@@ -17,7 +17,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import work_path
+from lectern.llm.common import claim, work_path
 from lectern.shipping import map_arrow
 
 WINDOW = 10
@@ -207,6 +207,7 @@ _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def _report(batches: Iterator[pa.RecordBatch], paths: list[str], window: int) -> Iterator[pa.RecordBatch]:
+    claim(_held.clear)
     for b in batches:
         got = matches(b.column("text").to_pylist(), paths, window)
         yield pa.RecordBatch.from_arrays(
@@ -233,6 +234,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_wo
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch], paths: list[str], window: int, most: float) -> Iterator[pa.RecordBatch]:
+    claim(_held.clear)
     for b in batches:
         texts = b.column("text").to_pylist()
         got = matches(texts, paths, window)

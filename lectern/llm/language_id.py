@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import documents
+from lectern.llm.common import claim, documents, nothing
 from lectern.shipping import map_arrow
 
 SLOTS = 1 << 15
@@ -161,6 +161,7 @@ def predict(texts: list[str | None], langs: list[str], known: Words) -> Iterator
 
 
 def _predicted(batches: Iterator[pa.RecordBatch], langs: list[str], table: np.ndarray) -> Iterator[pa.RecordBatch]:
+    claim(nothing)
     known = Words(table)
     for b in batches:
         got = list(predict(b.column("__text").to_pylist(), langs, known))

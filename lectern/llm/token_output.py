@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import documents, partitions
+from lectern.llm.common import claim, documents, partitions
 from lectern.shipping import map_arrow
 
 MAGIC = b"LTK1"
@@ -158,6 +158,7 @@ def _narrow(ids: bytes, width: int) -> bytes:
 def _write_shard(batches: Iterator[pa.RecordBatch], tokenizer: str, folder: str, dictionary: bytes, end_id: int):
     import zstandard
 
+    claim(_encoders.clear)
     enc, digest, ctx = encoder(tokenizer), hashlib.sha256(dictionary).digest(), TaskContext.get()
     press = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
     store, base = fs.FileSystem.from_uri(folder)
