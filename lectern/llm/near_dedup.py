@@ -23,17 +23,19 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import documents, materialise, partitions, small
+from lectern.llm.common import claim, documents, materialise, partitions, small
 from lectern.shipping import map_arrow
 
 COORDS, TREES, START, DEEPEST, LEAF = 128, 24, 4, 10, 48
-#: A candidate's least estimate, 4.5 standard deviations under 0.8.
-ESTIMATE = 0.64
+#: A candidate's least estimate, 4.5 standard deviations under 0.8; the same for sketches of SHARP coordinates.
+ESTIMATE, SHARP, SHARP_ESTIMATE = 0.64, 1024, 0.744
+#: Sets of a large node that are compared at once, to either side.
+BLOCK = 2048
 MEMO = 400_000
 U = np.uint64
 _rng = np.random.default_rng(7)
-_A = _rng.integers(1, 1 << 63, COORDS, dtype=np.uint64) * U(2) + U(1)
-_B = _rng.integers(0, 1 << 63, COORDS, dtype=np.uint64)
+_A = _rng.integers(1, 1 << 63, SHARP, dtype=np.uint64) * U(2) + U(1)
+_B = _rng.integers(0, 1 << 63, SHARP, dtype=np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -65,15 +67,17 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(_mix(h[:-1] * U(0x9E3779B97F4A7C15) + ((h[1:] << U(31)) | (h[1:] >> U(33)))))
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """16 bits of each min-hash."""
-    low = np.full(COORDS, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(s), 2048):
-        np.minimum(low, (s[None, k : k + 2048] * _A[:, None] + _B[:, None]).min(1), out=low)
+def sketch(s: np.ndarray, coords: int = COORDS) -> np.ndarray:
+    """16 bits of each min-hash; more coordinates begin with the same ones."""
+    a, b = _A[:coords, None], _B[:coords, None]
+    low = np.full(coords, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(s), 1024):
+        np.minimum(low, (s[None, k : k + 1024] * a + b).min(1), out=low)
     return (_mix(low) >> U(48)).astype(np.uint16)
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim(_hashes.clear)
     for b in batches:
         sets, sketches, n = [], [], []
         for text in b.column("text").to_pylist():
@@ -120,7 +124,7 @@ def _branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Estimated similarity from 8 bits a coordinate."""
-    return ((a == b).sum(-1) / COORDS - 1 / 256) / (1 - 1 / 256)
+    return ((a == b).sum(-1) / a.shape[-1] - 1 / 256) / (1 - 1 / 256)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, np.ndarray]]:
@@ -128,10 +132,10 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, n
     held: list[dict[str, np.ndarray]] = []
     for b in batches:
         cols = {n: b.column(n).to_numpy(zero_copy_only=False) for n in b.schema.names if n != "s8"}
-        cols["s8"] = np.frombuffer(b"".join(b.column("s8").to_pylist()), np.uint8).reshape(-1, COORDS)
         k = cols[key]
         if not len(k):
             continue
+        cols["s8"] = np.frombuffer(b"".join(b.column("s8").to_pylist()), np.uint8).reshape(len(k), -1)
         cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1), len(k)]
         for i, j in zip(cuts[:-1], cuts[1:], strict=True):
             part = {n: c[i:j] for n, c in cols.items()}
@@ -163,10 +167,11 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             label = g["label"][first]
             keep = label[i] != label[j]
             i, j = i[keep], j[keep]
-        est = _same(s[i], s[j])
+        est = _same(s[i, :COORDS], s[j, :COORDS])
         good = np.flatnonzero(est >= ESTIMATE)
-        if "label" in g:  # every pair between components is needed now
-            out.update(((int(v[i[k]]), int(v[j[k]])), float(est[k])) for k in good)
+        if "label" in g:  # every pair between components is needed now, but for those that sharper sketches refute
+            est[good] = _same(s[i[good]], s[j[good]])
+            out.update(((int(v[i[k]]), int(v[j[k]])), float(est[k])) for k in good if est[k] >= SHARP_ESTIMATE)
             good = ()
 
         def root(x):
@@ -185,16 +190,33 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
-def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of each block of a large node: of odd sets with sets of another component."""
+    for g in _groups(batches, "block"):
+        v, label, s = g["v"], g["label"], g["s8"]
+        odd, out = np.flatnonzero(g["odd"].astype(bool)), []
+        for k in range(0, len(odd), 32):
+            some = odd[k : k + 32]
+            est = _same(s[some, None, :COORDS], s[None, :, :COORDS])
+            i, j = np.nonzero((est >= ESTIMATE) & (label[some][:, None] != label[None, :]))
+            i = some[i]
+            est = _same(s[i], s[j])
+            keep = est >= SHARP_ESTIMATE
+            out.append((np.minimum(v[i], v[j])[keep], np.maximum(v[i], v[j])[keep], est[keep]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b", "est"])
+
+
+def _sharp(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim(_hashes.clear)
     for b in batches:
-        x, y = (np.frombuffer(b"".join(b.column(n).to_pylist()), np.uint8).reshape(-1, COORDS) for n in ("s8a", "s8b"))
-        est = _same(x, y)
-        got = pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(est)], ["a", "b", "est"])
-        yield got.filter(pa.array(est >= ESTIMATE))
+        got = [sketch(shingles(t), SHARP).astype(np.uint8).tobytes() for t in b.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column("v"), pa.array(got, pa.binary())], ["v", "s8"])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs with 100 * intersection >= percent * union, on the full sets."""
+    claim(_hashes.clear)
     last, s = None, None
     for b in batches:
         keep = []
@@ -252,13 +274,17 @@ class _Search:
             return pairs.withColumn("x", F.col("a")).withColumn("y", F.col("b"))
         return self.label("b")(self.label("a")(pairs, "x"), "y").where("x != y")
 
+    def texts(self, need: DataFrame) -> DataFrame:
+        """(v, text) of the sets asked for."""
+        keys = self.sets.join(need, "v", "left_semi").select("v", F.col("doc_id").alias("d"), F.col("h").alias("k"))
+        texts = self.docs.join(keys, self.docs["doc_id"].eqNullSafe(keys["d"]) & (self.docs["h"] == keys["k"])).select("v", "text")
+        return texts.dropDuplicates(["v"])
+
     def confirm(self, pairs: DataFrame) -> bool:
         """Confirms pairs (a, b) on full sets and puts their ends' components together; whether any was confirmed."""
         pairs = pairs.select("a", "b")
         need = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
-        keys = self.sets.join(need, "v", "left_semi").select("v", F.col("doc_id").alias("d"), F.col("h").alias("k"))
-        texts = self.docs.join(keys, self.docs["doc_id"].eqNullSafe(keys["d"]) & (self.docs["h"] == keys["k"])).select("v", "text")
-        texts = materialise(texts.dropDuplicates(["v"]), "near-texts")
+        texts = materialise(self.texts(need), "near-texts")
         full = pairs.join(texts.select(F.col("v").alias("a"), F.col("text").alias("text_a")), "a")
         full = full.join(texts.select(F.col("v").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
         percent = self.percent
@@ -355,9 +381,16 @@ def near_dedup(docs: DataFrame, percent: int = 80, trees: int = TREES) -> DataFr
     if search.labels is not None:
         labelled = materialise(search.label("v")(leaves, "label"), "labelled")
         mixed = labelled.groupBy("node").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("node")
-        more = map_arrow(by_node(labelled.join(mixed, "node")), _forest, "a long, b long, est double")
-        if any_large:
-            more = more.unionByName(_rest(search, large, s8))
+        open_ = materialise(labelled.join(mixed, "node"), "mixed")
+        blocks = _blocks(search, large) if any_large else None
+        need = open_.select("v").distinct() if blocks is None else open_.select("v").unionByName(blocks.select("v")).distinct()
+        sharp = materialise(map_arrow(search.texts(need), _sharp, "v long, s8 binary"), "sharp")
+        found = open_.join(sharp, "v").repartition(parts, "node").sortWithinPartitions("node")
+        more = map_arrow(found.select("node", "v", "label", "s8"), _forest, "a long, b long, est double")
+        if blocks is not None:
+            cols = ["block", "v", "label", "odd", "s8"]
+            found = blocks.join(sharp, "v").select(*cols).repartition(parts, "block").sortWithinPartitions("block")
+            more = more.unionByName(map_arrow(found, _between, "a long, b long, est double"))
         more = materialise(more.groupBy("a", "b").agg(F.max("est").alias("est")).join(pairs, ["a", "b"], "left_anti"), "candidates")
         search.resolve(more)
 
@@ -373,14 +406,21 @@ def near_dedup(docs: DataFrame, percent: int = 80, trees: int = TREES) -> DataFr
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.col("h").alias("key"))
 
 
-def _rest(search: _Search, large: DataFrame, s8: DataFrame) -> DataFrame:
-    """In nodes that stayed large: pairs of a set outside the node's commonest component with any set of another one."""
+def _blocks(search: _Search, large: DataFrame) -> DataFrame:
+    """(block, v, label, odd): nodes that stayed large and hold several components, dealt to blocks.
+
+    Odd sets are those outside a node's commonest component; each meets every set of its node in one block: where a node
+    has more than BLOCK sets, odd or not, its sets are sliced and odd and other slices are paired.
+    """
     rows = search.label("v")(large, "label")
     sizes = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
-    common = sizes.groupBy("node").agg(F.max_by("label", F.struct("n", "label")).alias("common"))
-    rows = materialise(rows.join(common, "node"), "large")
-    odd = rows.where(F.col("label") != F.col("common")).select("node", F.col("v").alias("a"), F.col("label").alias("x"))
-    pairs = odd.join(rows.select("node", F.col("v").alias("b"), "label"), "node").where("x != label")
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = pairs.join(s8.select(F.col("v").alias("a"), F.col("s8").alias("s8a")), "a").join(s8.select(F.col("v").alias("b"), F.col("s8").alias("s8b")), "b")
-    return map_arrow(pairs.select("a", "b", "s8a", "s8b"), _estimated, "a long, b long, est double")
+    nodes = sizes.groupBy("node").agg(F.max_by("label", F.struct("n", "label")).alias("common"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    nodes = nodes.where("most < all").select(
+        "node", "common", F.ceil(F.col("all") / BLOCK).cast("int").alias("slices"), F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("chunks")
+    )
+    rows = rows.join(nodes, "node").withColumn("odd", F.col("label") != F.col("common"))
+    mine = lambda n: F.pmod(F.xxhash64("v"), F.col(n)).cast("int")
+    whole = rows.select("node", "v", "label", F.lit(False).alias("odd"), mine("slices").alias("s"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c"))
+    odd = rows.where("odd").select("node", "v", "label", "odd", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("s"), mine("chunks").alias("c"))
+    both = whole.unionByName(odd).groupBy(F.xxhash64("node", "s", "c").alias("block"), "v", "label").agg(F.max("odd").alias("odd"))
+    return materialise(both, "blocks")
