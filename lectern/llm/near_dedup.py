@@ -4,13 +4,14 @@ Each different shingle set gets a sketch of 128 min-hashes. A tree sends a set d
 chosen by a hash of the path, names the branch. Sets with similarity s follow the same branch with probability s. Nodes
 of more than LEAF sets branch on, from FORK levels on along 1.25 coordinates in the mean, so that sets with s = 0.8 stay
 together in one branch in expectation. Nodes that are small enough are compared exhaustively by sketch; independent trees
-repeat this until a pair at the threshold is missed with probability (1 - 0.8^START)^TREES at most.
+repeat this. A pair with sketches of similarity s is missed with probability (1 - s^START)^TREES: branching loses about half
+of such pairs on the way down, but what it leaves open is compared in whole START-level nodes afterwards.
 
 Of a node's candidate pairs only a spanning forest is kept at first, as links matter by the components they make.
 Candidates are confirmed on the full sets, best first, those whose ends are connected already are left out. Then nodes that
 still hold several components are searched for pairs between them, until none is left that isn't confirmed or refuted.
 A node that stays large down to DEEPEST (sets that agree in as many coordinates) is cut into blocks in a random order of
-its own in each tree; what its components leave open is compared with the whole node afterwards.
+its own in each tree. Then every node that was large at START and holds several components is compared as a whole, in blocks.
 """
 
 from __future__ import annotations
@@ -322,11 +323,10 @@ class _Search:
             tried = pick if tried is None else tried.unionByName(pick)
 
 
-def _leaves(sets: DataFrame, trees: int) -> tuple[DataFrame, DataFrame, bool]:
-    """(node, v) of leaves with two sets at least; of the nodes that are still large at the deepest level; whether there are any."""
-    spark = sets.sparkSession
+def _leaves(sets: DataFrame, trees: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(node, v) of leaves with two sets at least, of all levels and of START; of nodes that are large at START, and at DEEPEST."""
     rows = map_arrow(sets.select("v", "sketch"), lambda it: _roots(it, trees), "node long, v long")
-    leaves = None
+    leaves = first = start = None
     for depth in range(START, DEEPEST + 1):
         rows = rows.distinct() if depth > START else rows
         n = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -334,11 +334,13 @@ def _leaves(sets: DataFrame, trees: int) -> tuple[DataFrame, DataFrame, bool]:
         leaf = rows.where(F.col("n") <= LEAF).select("node", "v")
         leaves = leaf if leaves is None else leaves.unionByName(leaf)
         rows = rows.where(F.col("n") > LEAF).select("node", "v")
+        if start is None:
+            first, start = leaf, rows
         if rows.isEmpty():
-            return leaves, rows, False
+            break
         if depth < DEEPEST:
             rows = map_arrow(rows.join(sets.select("v", "sketch"), "v").select("node", "v", "sketch"), _branches, "node long, v long")
-    return leaves, rows, True
+    return leaves, first, start, rows
 
 
 def near_dedup(docs: DataFrame, percent: int = 80, trees: int = TREES) -> DataFrame:
@@ -362,7 +364,8 @@ def near_dedup(docs: DataFrame, percent: int = 80, trees: int = TREES) -> DataFr
     s8 = materialise(sets.select("v", eight.alias("s8")), "s8")
     search = _Search(rows, sets, percent)
 
-    leaves, large, any_large = _leaves(sets, trees)
+    leaves, first, start, large = _leaves(sets, trees)
+    any_start, any_large = not start.isEmpty(), not large.isEmpty()
     parts = partitions(rows.sparkSession)
 
     def by_node(df):
@@ -379,10 +382,10 @@ def near_dedup(docs: DataFrame, percent: int = 80, trees: int = TREES) -> DataFr
     pairs = materialise(pairs.groupBy("a", "b").agg(F.max("est").alias("est")), "candidates")
     search.resolve(pairs)
     if search.labels is not None:
-        labelled = materialise(search.label("v")(leaves, "label"), "labelled")
+        labelled = materialise(search.label("v")(first, "label"), "labelled")
         mixed = labelled.groupBy("node").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("node")
         open_ = materialise(labelled.join(mixed, "node"), "mixed")
-        blocks = _blocks(search, large) if any_large else None
+        blocks = _blocks(search, start) if any_start else None
         need = open_.select("v").distinct() if blocks is None else open_.select("v").unionByName(blocks.select("v")).distinct()
         sharp = materialise(map_arrow(search.texts(need), _sharp, "v long, s8 binary"), "sharp")
         found = open_.join(sharp, "v").repartition(parts, "node").sortWithinPartitions("node")
@@ -407,7 +410,7 @@ def near_dedup(docs: DataFrame, percent: int = 80, trees: int = TREES) -> DataFr
 
 
 def _blocks(search: _Search, large: DataFrame) -> DataFrame:
-    """(block, v, label, odd): nodes that stayed large and hold several components, dealt to blocks.
+    """(block, v, label, odd): large nodes that hold several components, dealt to blocks.
 
     Odd sets are those outside a node's commonest component; each meets every set of its node in one block: where a node
     has more than BLOCK sets, odd or not, its sets are sliced and odd and other slices are paired.

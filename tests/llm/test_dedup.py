@@ -166,6 +166,24 @@ def test_near_large_group(spark, monkeypatch):
     assert sorted(tuple(r) for r in got.collect()) == sorted(brute_near(found))
 
 
+def threshold_links(families, n):
+    """Families of n near copies, and for each a set that only its first member links to: 104 of 130 shingles, 0.8."""
+    found, ends = [], []
+    for f in range(families):
+        base = [f"b{f}x{k}" for k in range(118)]
+        found.append((n * f, " ".join(base), None, None))
+        found += [(n * f + k, " ".join([f"m{f}x{k}", f"o{f}x{k}", *base[2:]]), None, None) for k in range(1, n)]
+        ends.append((10**6 + f, " ".join(base[:105] + [f"e{f}x{k}" for k in range(13)]), None, None))
+    return found, ends
+
+
+def test_near_threshold_links_in_large_groups(spark):
+    """One link of just 0.8 ties a set to a family of hundreds; large nodes must not lose it on the way down."""
+    found, ends = threshold_links(100, 130)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(frame(spark, found + ends)).collect()}
+    assert [got[i] for i, *_ in ends] == [got[130 * f] for f in range(100)] == [130 * f for f in range(100)]
+
+
 def test_near_empty(spark):
     assert near_dedup.near_dedup(frame(spark, [])).count() == 0
     assert near_dedup.near_dedup(frame(spark, [(3, None, None, None), (1, " \n", None, None)])).where("kept").count() == 2
