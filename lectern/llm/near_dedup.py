@@ -267,12 +267,13 @@ class _Search:
         self.labels: DataFrame | None = None
 
     def label(self, col: str):
+        """Adds a column with the label of ``col``; a set that nothing is linked to is its own."""
+        if self.labels is None:
+            return lambda df, to: df.withColumn(to, F.col(col))
         return (lambda df, to: df.join(self.labels.select(F.col("v").alias(col), F.col("label").alias(to)), col, "left").withColumn(to, F.coalesce(to, col)))
 
     def between(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose ends aren't connected, with the labels x and y."""
-        if self.labels is None:
-            return pairs.withColumn("x", F.col("a")).withColumn("y", F.col("b"))
         return self.label("b")(self.label("a")(pairs, "x"), "y").where("x != y")
 
     def texts(self, need: DataFrame) -> DataFrame:
@@ -381,29 +382,25 @@ def near_dedup(docs: DataFrame, percent: int = 80, trees: int = TREES) -> DataFr
         pairs = pairs.unionByName(map_arrow(by_node(cut), _forest, "a long, b long, est double"))
     pairs = materialise(pairs.groupBy("a", "b").agg(F.max("est").alias("est")), "candidates")
     search.resolve(pairs)
-    if search.labels is not None:
-        labelled = materialise(search.label("v")(first, "label"), "labelled")
-        mixed = labelled.groupBy("node").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("node")
-        open_ = materialise(labelled.join(mixed, "node"), "mixed")
-        blocks = _blocks(search, start) if any_start else None
-        need = open_.select("v").distinct() if blocks is None else open_.select("v").unionByName(blocks.select("v")).distinct()
-        sharp = materialise(map_arrow(search.texts(need), _sharp, "v long, s8 binary"), "sharp")
-        found = open_.join(sharp, "v").repartition(parts, "node").sortWithinPartitions("node")
-        more = map_arrow(found.select("node", "v", "label", "s8"), _forest, "a long, b long, est double")
-        if blocks is not None:
-            cols = ["block", "v", "label", "odd", "s8"]
-            found = blocks.join(sharp, "v").select(*cols).repartition(parts, "block").sortWithinPartitions("block")
-            more = more.unionByName(map_arrow(found, _between, "a long, b long, est double"))
-        more = materialise(more.groupBy("a", "b").agg(F.max("est").alias("est")).join(pairs, ["a", "b"], "left_anti"), "candidates")
-        search.resolve(more)
+    labelled = materialise(search.label("v")(first, "label"), "labelled")
+    mixed = labelled.groupBy("node").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("node")
+    open_ = materialise(labelled.join(mixed, "node"), "mixed")
+    blocks = _blocks(search, start) if any_start else None
+    need = open_.select("v").distinct() if blocks is None else open_.select("v").unionByName(blocks.select("v")).distinct()
+    sharp = materialise(map_arrow(search.texts(need), _sharp, "v long, s8 binary"), "sharp")
+    found = open_.join(sharp, "v").repartition(parts, "node").sortWithinPartitions("node")
+    more = map_arrow(found.select("node", "v", "label", "s8"), _forest, "a long, b long, est double")
+    if blocks is not None:
+        cols = ["block", "v", "label", "odd", "s8"]
+        found = blocks.join(sharp, "v").select(*cols).repartition(parts, "block").sortWithinPartitions("block")
+        more = more.unionByName(map_arrow(found, _between, "a long, b long, est double"))
+    more = materialise(more.groupBy("a", "b").agg(F.max("est").alias("est")).join(pairs, ["a", "b"], "left_anti"), "candidates")
+    search.resolve(more)
 
     named = sets.select("v", "same", "doc_id")
-    if search.labels is None:
-        named = named.withColumn("component_id", F.col("doc_id"))
-    else:
-        labelled = search.label("v")(named, "label")
-        least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-        named = labelled.join(least, "label")
+    labelled = search.label("v")(named, "label")
+    least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    named = labelled.join(least, "label")
     out = signed.drop("sketch").join(named.select("same", F.col("component_id").alias("of")), "same", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("of"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.col("h").alias("key"))

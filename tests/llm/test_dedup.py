@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import frame, prose, rows
 from hypothesis import given, settings
@@ -184,6 +185,30 @@ def test_near_threshold_links_in_large_groups(spark):
     assert [got[i] for i, *_ in ends] == [got[130 * f] for f in range(100)] == [130 * f for f in range(100)]
 
 
+def test_near_nothing_confirmed_at_first(spark):
+    """The two pairs that look most alike are just under 0.8, the third is just at it and the only link of the table."""
+    def hidden(texts):
+        """Whether the third is wherever the first two meet, and likelier in both pairs."""
+        sk = [near_dedup.sketch(near_dedup.shingles(x)) for x in texts]
+        est = [near_dedup._same(sk[i].astype(np.uint8), sk[j].astype(np.uint8)) for i, j in ((0, 1), (0, 2), (1, 2))]
+        batch = pa.RecordBatch.from_pydict({"v": [0, 1, 2], "sketch": [x.tobytes() for x in sk]})
+        nodes = [b.column("node").to_pylist() for b in near_dedup._roots(iter([batch]), near_dedup.TREES)]
+        meet = [n for n in nodes if n[0] == n[1]]
+        return bool(meet) and 0.72 < est[0] < min(est[1:]) and all(n[2] == n[0] for n in meet)
+
+    for seed in range(20_000):
+        tail = lambda x, n: [f"{x}{seed}x{k}" for k in range(n)]
+        texts = [" ".join(tail("w", 105) + tail(x, n)) for x, n in (("a", 13), ("b", 13), ("c", 14))]
+        if hidden(texts):
+            break
+    assert hidden(texts)
+    found = [(k, x, None, None) for k, x in enumerate(texts)]
+    want = brute_near(found)
+    assert [r[2] for r in want] == [0, 0, 2]
+    got = near_dedup.near_dedup(frame(spark, found)).select("doc_id", "n_shingles", "component_id", "kept")
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
 def test_near_empty(spark):
     assert near_dedup.near_dedup(frame(spark, [])).count() == 0
     assert near_dedup.near_dedup(frame(spark, [(3, None, None, None), (1, " \n", None, None)])).where("kept").count() == 2
