@@ -3,7 +3,8 @@
 A model is a table of log-probabilities of hashed byte trigrams a language. A document's words are draws from a mixture
 of languages; expectation-maximisation estimates the proportions from the words' trigram likelihoods. From the full set
 the least language is dropped again and again, and the set with the best likelihood less half of log(words) a language
-is taken. The prediction is its largest language, the score its proportion.
+is taken. The prediction is its largest language, the score its proportion. Proportions say nothing of how well any language
+fits; that is the share of known words, which some language explains better than FLOOR of the way from it to chance.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ SLOTS = 1 << 15
 #: Documents a language that the model is fitted on, about: all if there are fewer, else those of the smallest text hashes.
 FIT_DOCS = 3000
 STEPS, KEPT, WORDS_AT_ONCE, MEMO = 8, 4, 300_000, 300_000
+#: A word is known if its mean log-likelihood a trigram in some language is above this point between the mean of the
+#: language's own text, as learned, (0) and that of slots drawn at random (1).
+FLOOR = 0.5
 UND = "und"
 #: Letters of ASCII become lower case, other ASCII becomes space; bytes from 128 on stay.
 _TO = bytes(c | 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -113,10 +117,12 @@ def infer(logs: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Log-likelihoods of words, remembered."""
+    """Log-likelihoods of words and, as the last column, whether they are known; remembered."""
 
     def __init__(self, table: np.ndarray):
-        self.table, self.at, self.rows = table, {}, np.zeros((0, table.shape[0]), np.float32)
+        self.table, self.at, self.rows = table, {}, np.zeros((0, table.shape[0] + 1), np.float32)
+        own = (np.exp(table.astype(np.float64)) * table).sum(1)
+        self.floor = own + FLOOR * (-np.log(SLOTS) - own)
 
     def logs(self, words: list[bytes]) -> np.ndarray:
         if len(self.at) > MEMO:
@@ -126,12 +132,14 @@ class Words:
             slots, starts = trigrams(new)
             got = np.stack([np.add.reduceat(t[slots], starts) for t in self.table], 1)
             self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
-            self.rows = np.concatenate([self.rows, got])
+            size = np.fromiter(map(len, new), np.int64, len(new))[:, None] + 2
+            known = (got >= self.floor * size).any(1, keepdims=True)
+            self.rows = np.concatenate([self.rows, np.concatenate([got, known.astype(np.float32)], 1)])
         return self.rows[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))]
 
 
-def predict(texts: list[str | None], langs: list[str], known: Words) -> Iterator[tuple[str, float, str]]:
-    """(language, score, all languages with their proportions) of each text."""
+def predict(texts: list[str | None], langs: list[str], known: Words) -> Iterator[tuple[str, float, str, float]]:
+    """(language, score, all languages with their proportions, share of known words) of each text."""
     held: list[list[bytes] | None] = []
     size = 0
 
@@ -139,14 +147,16 @@ def predict(texts: list[str | None], langs: list[str], known: Words) -> Iterator
         full = [w for w in held if w]
         p = iter(())
         if full:
-            p = iter(infer(known.logs([x for w in full for x in w]), np.array([len(w) for w in full])))
+            rows, n = known.logs([x for w in full for x in w]), np.array([len(w) for w in full])
+            share = np.add.reduceat(rows[:, -1], np.concatenate([[0], np.cumsum(n)[:-1]]), dtype=np.float64) / n
+            p = iter(zip(infer(rows[:, :-1], n), share, strict=True))
         for w in held:
             if not w:
-                yield UND, 0.0, ""
+                yield UND, 0.0, "", 0.0
                 continue
-            q = next(p)
+            q, some = next(p)
             order = [k for k in np.argsort(-q, kind="stable") if q[k] > 0.005]
-            yield langs[order[0]], float(min(1.0, max(0.0, q[order[0]]))), ",".join(f"{langs[k]}:{q[k]:.2f}" for k in order)
+            yield langs[order[0]], float(min(1.0, max(0.0, q[order[0]]))), ",".join(f"{langs[k]}:{q[k]:.2f}" for k in order), float(some)
 
     for t in texts:
         words = words_of(t) if t and langs else []
@@ -165,13 +175,13 @@ def _predicted(batches: Iterator[pa.RecordBatch], langs: list[str], table: np.nd
     known = Words(table)
     for b in batches:
         got = list(predict(b.column("__text").to_pylist(), langs, known))
-        cols = [pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.string()))]
+        cols = [pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.string(), pa.float64()))]
         keep = [b.column(k) for k in range(b.num_columns - 1)]
-        yield pa.RecordBatch.from_arrays([*keep, *cols], [*b.schema.names[:-1], "lang_pred", "score", "langs"])
+        yield pa.RecordBatch.from_arrays([*keep, *cols], [*b.schema.names[:-1], "lang_pred", "score", "langs", "known"])
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``carry`` columns with lang_pred, score and langs (each language and its proportion).
+    """The ``carry`` columns with lang_pred, score, langs (each language and its proportion) and known (share of known words).
 
     A null text, or one without a letter, is "und" with score 0; without a model all are. Ties go to the first language by
     name. Whole texts are used; documents are independent, so nothing is shuffled; other columns are ignored.
@@ -180,7 +190,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], carry: tuple[
     text = F.col("text").cast("string").alias("__text")
     rows = docs.select(*carry, text)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return map_arrow(rows, lambda it: _predicted(it, langs, table), f"{kinds}, lang_pred string, score double, langs string")
+    return map_arrow(rows, lambda it: _predicted(it, langs, table), f"{kinds}, lang_pred string, score double, langs string, known double")
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -1,5 +1,7 @@
+import base64
 import collections
 import importlib.util
+import random
 
 import pytest
 from fixtures import frame, rows
@@ -39,5 +41,21 @@ def test_odd_rows(spark, sf):
         assert stage(spark, frame(spark, []), sf).count() == 0
 
 
+def test_language_stage_rejects_what_no_language_explains(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(*pipeline.COLUMNS)
+    rng = random.Random(9)
+    odd = {
+        10**9 + 1: "tutti gli esseri umani nascono liberi ed eguali in dignità e diritti essi sono dotati di ragione e di coscienza " * 3,
+        10**9 + 2: "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki " * 3,
+        10**9 + 3: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(200)),
+        10**9 + 4: base64.b64encode(rng.randbytes(900)).decode(),
+    }
+    more = spark.createDataFrame([(k, t, None, "s", len(t)) for k, t in odd.items()], docs.schema)
+    kept = {r.doc_id for r in pipeline.language_stage(spark, docs.unionByName(more), sf).select("doc_id").collect()}
+    assert kept.isdisjoint(odd)
+    letters = {r.doc_id for r in docs.where("text rlike '\\\\p{L}'").collect()}
+    assert kept == letters
+
+
 def test_queries_named():
     assert [q.split("_")[0] for q in sorted(registry.queries(), key=lambda q: int(q[2:].split("_")[0]))] == [f"op{n}" for n in range(1, 11)]
