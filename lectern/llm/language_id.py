@@ -22,7 +22,7 @@ from lectern.shipping import map_arrow
 SLOTS = 1 << 15
 #: Documents a language that the model is fitted on, about: all if there are fewer, else those of the smallest text hashes.
 FIT_DOCS = 3000
-STEPS, KEPT, WORDS_AT_ONCE, MEMO = 8, 4, 300_000, 300_000
+STEPS, WORDS_AT_ONCE, MEMO = 8, 300_000, 300_000
 #: A word is known if its mean log-likelihood a trigram in some language is above this point between the mean of the
 #: language's own text, as learned, (0) and that of slots drawn at random (1).
 FLOOR = 0.5
@@ -98,10 +98,6 @@ def infer(logs: np.ndarray, n: np.ndarray) -> np.ndarray:
     like = np.exp(np.maximum(logs - logs.max(1, keepdims=True), -60.0)).astype(np.float64)
     begins, every = np.concatenate([[0], np.cumsum(n)[:-1]]), np.ones((len(n), logs.shape[1]))
     p, value = mixture(like, begins, n, every)
-    if logs.shape[1] > KEPT:  # only the largest languages are dropped one at a time
-        least = np.sort(p, 1)[:, -KEPT][:, None]
-        every = (p >= least).astype(float)
-        p, value = mixture(like, begins, n, every)
     cost = 0.5 * np.log(n + 1.0)
     best, score, on = p, value - cost * every.sum(1), every
     for _ in range(int(every.sum(1).max()) - 1):

@@ -207,6 +207,16 @@ def test_language(spark):
     assert {r.doc_id for r in held if r.h} == set(out)
 
 
+def test_language_of_many():
+    """Seven languages whose words are plain to tell: a document of six keeps all six, one of two only its two."""
+    own = np.full((7, 7), -12.0)
+    np.fill_diagonal(own, -2.0)
+    words = [[k for k in range(6) for _ in range(35 - 6 * k)], [k % 2 for k in range(120)]]
+    got = language_id.infer(own[np.array(sum(words, []))], np.array([120, 120]))
+    assert np.allclose(got[0], [35 / 120, 29 / 120, 23 / 120, 17 / 120, 11 / 120, 5 / 120, 0], atol=0.01)
+    assert np.allclose(got[1], [0.5, 0.5, 0, 0, 0, 0, 0], atol=0.01)
+
+
 def test_language_without_learners(spark):
     model = language_id.fit(frame(spark, [(1, None, "en", None), (2, "abc", None, None)]))
     assert [r.lang_pred for r in language_id.identify(frame(spark, [(1, "abc", None, None)]), model).collect()] == ["und"]
