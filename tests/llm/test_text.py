@@ -114,6 +114,20 @@ def test_secrets(spark):
     assert secrets.scan_secrets(frame(spark, [])).count() == 0 and secrets.scan_secrets(frame(spark)).count() == len(rows())
 
 
+def test_secrets_repositories(spark):
+    """Widely copied at one owner; a document copied once to another; used twice a document; null and empty sources."""
+    wide, few, copied, odd = (f"{x}x81kQpL0vRt55mNbW2c" for x in "ABCD")
+    found = [(k, f"page {k} has {wide}", None, "a") for k in range(10)]
+    found += [(20 + k, f"page {k} has {few} and {few}", None, "a") for k in range(9)]
+    found += [(40, f"the key {copied} is mine", None, "a"), (41, f"the key {copied} is mine", None, "b")]
+    found += [(50, f"one {odd}", None, None), (51, f"two {odd}", None, "")]
+    got = {r.doc_id: r for r in secrets.scan_secrets(frame(spark, found)).collect()}
+    assert {(got[k].n_example, got[k].n_live, got[k].spans) for k in range(10)} == {(1, 0, "")}
+    assert {(got[20 + k].n_example, got[20 + k].n_owned) for k in range(9)} == {(0, 2)}
+    assert {(got[k].n_example, got[k].n_live, got[k].spans) for k in (40, 41)} == {(0, 1, "owned:8:28")}
+    assert {(got[k].n_example, got[k].n_live) for k in (50, 51)} == {(1, 0)}
+
+
 def brute_targets(sizes, weights, most):
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + ([None] if None in sizes else [])
     w = {s: weights[k % len(weights)] for k, s in enumerate(names)}
