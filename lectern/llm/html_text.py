@@ -19,12 +19,21 @@ from lectern.shipping import map_arrow
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style template noscript head title meta link iframe object svg math canvas audio video datalist".split())
+HIDDEN = frozenset("script style template noscript head title meta link iframe object canvas audio video datalist annotation annotation-xml".split())
+#: Parts of a formula's element that stand apart.
+APART = frozenset("mfrac msub msup msubsup munder mover munderover mroot mtr mtable".split())
+#: Elements of SVG that are drawn only where others name them, or never.
+UNDRAWN = frozenset("defs symbol clippath mask pattern marker desc metadata lineargradient radialgradient filter".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure form fieldset hr article section".split())
 BLOCK = SPACED | frozenset(
     "html body div main header footer nav aside address center details summary dialog figcaption hgroup legend li dt dd option optgroup select textarea "
     "caption thead tbody tfoot tr td th".split()
 )
+#: Start tags that end an open drawing.
+BREAKS = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li listing menu nobr ol p pre ruby s small span strong "
+    "strike sub sup table tt u ul var".split()
+)
 #: A start tag closes these open elements, up to the nearest of the second set.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -65,6 +74,8 @@ class Builder(HTMLParser):
         if tag == "html":
             self.root.attrs |= attrs
             return
+        if tag in BREAKS and self._foreign() == "svg":
+            del self.open[max(k for k, n in enumerate(self.open) if n.tag == "svg") :]
         if tag in CLOSES:
             closed, until = CLOSES[tag]
             for k in range(len(self.open) - 1, 0, -1):
@@ -78,8 +89,12 @@ class Builder(HTMLParser):
                 if self.open[k].tag == "p":
                     del self.open[k:]
                     break
-                if self.open[k].tag in BLOCK:
+                if self.open[k].tag in BLOCK or self.open[k].tag == "foreignobject":
                     break
+        if tag in ("td", "th") and self.open[-1].tag in ("table", "thead", "tbody", "tfoot") and len(self.open) < DEEPEST:
+            row = Node("tr", {})
+            self.open[-1].kids.append(row)
+            self.open.append(row)
         node = Node(tag, attrs)
         self.open[-1].kids.append(node)
         if tag not in VOID and len(self.open) < DEEPEST:
@@ -87,6 +102,13 @@ class Builder(HTMLParser):
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
+        if self._foreign() and self.open[-1].tag == tag and not self.open[-1].kids:
+            self.open.pop()
+
+    def _foreign(self) -> str:
+        """The drawing or formula that is open, but for HTML inside of it."""
+        inside = [n.tag for n in self.open if n.tag in ("svg", "math", "foreignobject")]
+        return inside[-1] if inside and inside[-1] != "foreignobject" else ""
 
     def handle_endtag(self, tag):
         if tag == "p" and not any(n.tag == "p" for n in self.open):
@@ -183,6 +205,12 @@ def _render(kids: list, out: Layout) -> None:
             out.space()
         elif tag in ("ul", "ol", "menu", "dir"):
             _list(kid, out)
+        elif tag == "svg":
+            _svg(kid, out)
+        elif tag in APART:
+            for k in kid.kids:
+                _render([k], out)
+                out.text(" ")
         elif tag == "table":
             out.space()
             rows = _table(kid)
@@ -203,6 +231,19 @@ def _render(kids: list, out: Layout) -> None:
             _render(kid.kids, out)
 
 
+def _svg(node: Node, out: Layout) -> None:
+    """Text elements that are drawn, and HTML inside; other characters of a drawing are not shown."""
+    for kid in node.kids:
+        if isinstance(kid, str) or hidden(kid) or kid.tag in UNDRAWN or kid.attrs.get("display") == "none" or kid.attrs.get("visibility") in ("hidden", "collapse"):
+            continue
+        if kid.tag in ("text", "foreignobject"):
+            out.text(" ")
+            _render(kid.kids, out)
+            out.text(" ")
+        else:
+            _svg(kid, out)
+
+
 def _raw(node: Node) -> str:
     return "".join(k if isinstance(k, str) else "\n" if k.tag == "br" else "" if hidden(k) else _raw(k) for k in node.kids)
 
@@ -235,22 +276,35 @@ def _list(node: Node, out: Layout) -> None:
     out.space()
 
 
-def _rows(node: Node) -> Iterator[Node]:
+def _has_row(node: Node) -> bool:
+    return any(isinstance(k, Node) and k.tag != "table" and (k.tag == "tr" or _has_row(k)) for k in node.kids)
+
+
+def _split(node: Node, rows: list[Node], rest: list) -> None:
+    """The rows of a table, and what else stands in it; rows stay rows inside of sections, forms and the like."""
     for kid in node.kids:
-        if isinstance(kid, Node) and not hidden(kid):
-            if kid.tag == "tr":
-                yield kid
-            elif kid.tag in ("thead", "tbody", "tfoot"):
-                yield from _rows(kid)
+        if isinstance(kid, str):
+            rest.append(kid)
+        elif hidden(kid):
+            continue
+        elif kid.tag == "tr":
+            rows.append(kid)
+        elif kid.tag in ("thead", "tbody", "tfoot", "colgroup") or (kid.tag not in ("table", "caption") and _has_row(kid)):
+            _split(kid, rows, rest)
+        else:
+            rest.append(kid)
 
 
 def _table(node: Node) -> list[str]:
     """Rows of cells, each padded to its column; a cell may have several lines; other content comes before the rows."""
+    rows: list[Node] = []
+    others: list = []
+    _split(node, rows, others)
     rest = Layout()
-    _render([k for k in node.kids if isinstance(k, str) or k.tag not in ("tr", "thead", "tbody", "tfoot", "colgroup")], rest)
+    _render(others, rest)
     rest.end()
     grid: list[list[list[str]]] = []
-    for row in _rows(node):
+    for row in rows:
         cells: list[list[str]] = []
         for kid in row.kids:
             if isinstance(kid, str):

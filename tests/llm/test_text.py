@@ -89,6 +89,23 @@ def test_html_odd(html):
     assert title == "" and (text == "deep" if html and "deep" in html else True)
 
 
+@pytest.mark.parametrize(("html", "lines"), [
+    ("<table><tbody><td>a</td><td>b</td></tbody></table>", ["a  b"]),
+    ("<table><thead><th>h<th>i<tbody><td>a<td>b<tr><td>c</table>", ["h  i", "a  b", "c"]),
+    ("<table><tbody><form><tr><td>a</td><td>b</td></tr></form></tbody></table>", ["a  b"]),
+    ("<table><tbody>one<tr><td>a</td></tr><div>two</div><tr><td>b</td></tr></tbody></table>", ["one", "two", "a", "b"]),
+    ("<table><tbody><tr><td><table><tbody>in<tr><td>a</table></table>", ["in", "a"]),
+    ("<table><colgroup>odd<col></colgroup><tr><td>a</table>", ["odd", "a"]),
+    ("<table><tbody hidden><td>no</td></tbody><tr><td>a</table>", ["a"]),
+    ("<p>let <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>no</annotation></math> be</p>", ["let x=1 2 be"]),
+    ("<p>see <svg><title>no</title>no<defs><text>no</text></defs><defs/><g><path d='x'/><text>one <tspan>two</tspan></text></g></svg>.</p>", ["see one two ."]),
+    ("<p>a <svg><path d='x'><p>b", ["a", "", "b"]),
+    ("<p>a <svg><foreignObject><div>b</div></foreignObject></svg></p>", ["a", "b"]),
+])
+def test_html_all_visible(html, lines):
+    assert html_text.extract(html)[1].split("\n") == lines
+
+
 def test_html_table(spark):
     data = [(1, "u", PAGE, "t", "x"), (None, None, None, "t", "x"), (1, "u", PAGE, "t", "x"), (4, "u", "", "t", "x")]
     pages = spark.createDataFrame(data, "page_id long, url string, html string, title string, text string")
