@@ -12,8 +12,13 @@ from pyspark.sql import functions as F
 HOMOGLYPHS = ("АВЕКМНОРСТХаеорсухіΑΒΕΖΗΙΚΜΝΟΡΤΥΧοι", "ABEKMHOPCTXaeopcyxiABEZHIKMNOPTYXoi")
 SYMBOLS = r"[■□▪●◆★†‡¤§¶|~^_<>{}\\]"
 #: Latin ordinals by number, as prefaces count articles.
-ORDINALS = ["primo", "secundo", "tertio", "quarto", "quinto", "sexto", "septimo", "octavo", "nono", "decimo"]
-_ordinal = re.compile(r"\b(" + "|".join(ORDINALS) + r")\b,?\s*", re.IGNORECASE)
+ORDINALS = {
+    "primo": 1, "secundo": 2, "secundum": 2, "tertio": 3, "quarto": 4, "quinto": 5, "sexto": 6, "septimo": 7, "octavo": 8, "nono": 9, "decimo": 10,
+    "undecimo": 11, "duodecimo": 12, "tertiodecimo": 13, "decimotertio": 13, "quartodecimo": 14, "decimoquarto": 14, "quintodecimo": 15,
+    "decimoquinto": 15, "sextodecimo": 16, "decimosexto": 16, "septimodecimo": 17, "decimoseptimo": 17, "octavodecimo": 18, "decimooctavo": 18,
+    "nonodecimo": 19, "decimonono": 19, "vigesimo": 20,
+}
+_ordinal = re.compile(r"\b(" + "|".join(sorted(ORDINALS, key=len, reverse=True)) + r")\b,?\s*", re.IGNORECASE)
 REACH = 900
 
 
@@ -54,16 +59,16 @@ def truncated(c: Column, least: int = 60) -> Column:
 
 def enumeration(text: str) -> list[str]:
     """The items of the longest run primo, secundo, ... whose marks are 900 characters apart at most; of equal ones the last."""
-    marks = [(ORDINALS.index(m[1].lower()), m.start(), m.end()) for m in _ordinal.finditer(text)]
+    marks = [(ORDINALS[m[1].lower()], m.start(), m.end()) for m in _ordinal.finditer(text)]
     best: list[tuple[int, int, int]] = []
     for k, first in enumerate(marks):
-        if first[0]:
+        if first[0] != 1:
             continue
         run = [first]
         for m in marks[k + 1 :]:
             if m[1] - run[-1][2] > REACH:
                 break
-            if m[0] == len(run):
+            if m[0] == len(run) + 1:
                 run.append(m)
         if len(run) >= len(best):
             best = run

@@ -140,6 +140,17 @@ def test_enumerations(spark):
     assert values(spark, [(s, None)], ocr.enumerations(F.col("a"))) == [(["utrum X", "utrum Y", "an Z"],)]
 
 
+@pytest.mark.parametrize("late", [
+    ["tertiodecimo", "quartodecimo", "quintodecimo", "sextodecimo", "septimodecimo", "octavodecimo", "nonodecimo"],
+    ["decimotertio", "decimoquarto", "decimoquinto", "decimosexto", "decimoseptimo", "decimooctavo", "decimonono"],
+])
+def test_long_enumerations(late):
+    first = ["Primo", "secundum", "tertio", "quarto", "quinto", "sexto", "septimo", "octavo", "nono", "decimo", "undecimo", "duodecimo"]
+    names = [*first, *late, "vigesimo"]
+    text = "Quaeruntur viginti. " + "; ".join(f"{w}, utrum X{k}" for k, w in enumerate(names)) + ". Ad primum."
+    assert ocr.enumeration(text) == [f"utrum X{k}" for k in range(20)]
+
+
 CELLS = [
     (["genitive", "singular"], "gen sg m", ["gen sg"], None), (["feminine", "masculine", "plural", "vocative"], "voc pl m", ["voc pl m", "voc pl f"], None), (["ablative"], "abl sg m", ["abl sg"], None),
     (["present", "active", "indicative", "third-person", "singular"], None, [], "pres ind act 3 sg"), (["future", "perfect", "indicative", "first-person", "plural"], None, [], "futperf ind act 1 pl"),
