@@ -14,9 +14,9 @@ from lectern.llm.common import materialise, read, small, work_path
 from lectern.llm.registry import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A document's largest language must have this share of it, counting known words only; bilingual documents stay, texts that
-#: no language explains go.
-LANGUAGE_SCORE = 0.33
+#: A document's largest language must have this share of it, and known words, of any language, that share of its words;
+#: bilingual documents stay, texts that no language explains go.
+LANGUAGE_SCORE, KNOWN_SHARE = 0.33, 0.33
 #: A document of which more than this share lies in benchmark passages goes as a whole.
 HIT_SHARE = 0.5
 
@@ -31,7 +31,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     docs = _columns(docs)
     model = language_id.fit(language_id.learners(docs))
     found = language_id.identify(docs, model, carry=COLUMNS)
-    clear = found.where((F.col("lang_pred") != language_id.UND) & (F.col("score") * F.col("known") >= LANGUAGE_SCORE))
+    clear = found.where((F.col("lang_pred") != language_id.UND) & (F.col("score") >= LANGUAGE_SCORE) & (F.col("known") >= KNOWN_SHARE))
     return clear.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
