@@ -1,17 +1,16 @@
 """MinHash near-duplicates by chosen paths.
 
 Each different shingle set gets a sketch of 128 min-hashes. A tree sends a set down a path: at each node a coordinate,
-chosen by a hash of the path, names the branch. Sets with similarity s follow the same branch with probability s. Nodes
-of more than LEAF sets branch on, from FORK levels on along 1.25 coordinates in the mean, so that sets with s = 0.8 stay
-together in one branch in expectation. Nodes that are small enough are compared exhaustively by sketch; independent trees
-repeat this. A pair with sketches of similarity s is missed with probability (1 - s^START)^TREES: branching loses about half
-of such pairs on the way down, but what it leaves open is compared in whole START-level nodes afterwards.
-
-Of a node's candidate pairs only a spanning forest is kept at first, as links matter by the components they make.
-Candidates are confirmed on the full sets, best first, those whose ends are connected already are left out. Then nodes that
-still hold several components are searched for pairs between them, until none is left that isn't confirmed or refuted.
-A node that stays large down to DEEPEST (sets that agree in as many coordinates) is cut into blocks in a random order of
-its own in each tree. Then every node that was large at START and holds several components is compared as a whole, in blocks.
+chosen by a hash of the path, names the branch. Sets with similarity s follow the same branch with probability s. After
+START steps the sets of a node are compared exhaustively, on their full sets, if they are few enough for one task; larger
+nodes branch on along 1.25 coordinates in the mean, so that sets with s = 0.8 stay together in one branch in expectation.
+Independent trees repeat this. A pair of similarity s meets with probability 1 - (1 - s^START)^TREES.
+
+Trees are taken in turns. A turn's links are put together to components before the next turn, which then looks at nodes
+that still hold several components only: what one tree has joined costs the others nothing. Tasks keep a union-find of
+their node, so a node with k components gives at most k - 1 links, however many pairs it has. What branching has left
+apart in nodes that are large at START is closed at the end: the sets outside such a node's commonest component meet all
+its sets, block by block.
 """
 
 from __future__ import annotations
@@ -21,22 +20,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import claim, documents, materialise, partitions, small
+from lectern.llm.common import claim, documents, materialise, partitions
 from lectern.shipping import map_arrow
 
-COORDS, TREES, START, DEEPEST, LEAF = 128, 24, 4, 10, 48
-#: A candidate's least estimate, 4.5 standard deviations under 0.8; the same for sketches of SHARP coordinates.
-ESTIMATE, SHARP, SHARP_ESTIMATE = 0.64, 1024, 0.744
-#: Sets of a large node that are compared at once, to either side.
-BLOCK = 2048
+COORDS, START, DEEPEST = 128, 4, 10
+#: Trees that are searched between one labelling and the next; 24 in all.
+TURNS = (1, 4, 19)
+#: A set weighs one, and one more for every UNIT shingles; sets of BLOCK in weight, 4 kB each, are compared in one task.
+UNIT, BLOCK = 512, 2048
 MEMO = 400_000
 U = np.uint64
 _rng = np.random.default_rng(7)
-_A = _rng.integers(1, 1 << 63, SHARP, dtype=np.uint64) * U(2) + U(1)
-_B = _rng.integers(0, 1 << 63, SHARP, dtype=np.uint64)
+_A = _rng.integers(1, 1 << 63, COORDS, dtype=np.uint64) * U(2) + U(1)
+_B = _rng.integers(0, 1 << 63, COORDS, dtype=np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -68,10 +67,10 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(_mix(h[:-1] * U(0x9E3779B97F4A7C15) + ((h[1:] << U(31)) | (h[1:] >> U(33)))))
 
 
-def sketch(s: np.ndarray, coords: int = COORDS) -> np.ndarray:
-    """16 bits of each min-hash; more coordinates begin with the same ones."""
-    a, b = _A[:coords, None], _B[:coords, None]
-    low = np.full(coords, np.iinfo(np.uint64).max, np.uint64)
+def sketch(s: np.ndarray) -> np.ndarray:
+    """16 bits of each min-hash."""
+    a, b = _A[:, None], _B[:, None]
+    low = np.full(COORDS, np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(s), 1024):
         np.minimum(low, (s[None, k : k + 1024] * a + b).min(1), out=low)
     return (_mix(low) >> U(48)).astype(np.uint16)
@@ -105,131 +104,101 @@ def _step(node: np.ndarray, sk: np.ndarray, salt: int) -> np.ndarray:
 def _roots(batches: Iterator[pa.RecordBatch], trees: int) -> Iterator[pa.RecordBatch]:
     """Where each set is after START steps in each tree."""
     for b in batches:
-        sk, v = _matrix(b.column("sketch")), b.column("v")
+        sk = _matrix(b.column("sketch"))
         for tree in range(trees):
             node = np.full(len(sk), _mix(np.array([tree + 1], np.uint64))[0], np.uint64)
             for _ in range(START):
                 node = _step(node, sk, 17)
-            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), v], ["node", "v"])
+            cols = [pa.array(np.full(len(sk), tree, np.int32)), pa.array(node.view(np.int64)), b.column("v"), b.column("w")]
+            yield pa.RecordBatch.from_arrays(cols, ["tree", "node", "v", "w"])
 
 
 def _branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One step on, for a quarter of the nodes along two coordinates."""
     for b in batches:
-        sk, v = _matrix(b.column("sketch")), b.column("v").to_numpy(zero_copy_only=False)
+        sk = _matrix(b.column("sketch"))
+        v, w = (b.column(c).to_numpy(zero_copy_only=False) for c in ("v", "w"))
         node = b.column("node").to_numpy(zero_copy_only=False).view(np.uint64)
         two = _mix(node + U(5)) % U(4) == 0
         out = np.concatenate([_step(node, sk, 17), _step(node, sk, 71)[two]])
-        yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64)), pa.array(np.concatenate([v, v[two]]))], ["node", "v"])
+        cols = [out.view(np.int64), np.concatenate([v, v[two]]), np.concatenate([w, w[two]])]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["node", "v", "w"])
 
 
-def _same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated similarity from 8 bits a coordinate."""
-    return ((a == b).sum(-1) / a.shape[-1] - 1 / 256) / (1 - 1 / 256)
+def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim(_hashes.clear)
+    for b in batches:
+        for k in range(0, b.num_rows, 256):
+            some = b.slice(k, 256)
+            got = [shingles(t).tobytes() for t in some.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([some.column("v"), pa.array(got, pa.binary())], ["v", "full"])
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, np.ndarray]]:
-    """Runs of equal keys in sorted rows, across batches."""
-    held: list[dict[str, np.ndarray]] = []
-    for b in batches:
-        cols = {n: b.column(n).to_numpy(zero_copy_only=False) for n in b.schema.names if n != "s8"}
-        k = cols[key]
-        if not len(k):
-            continue
-        cols["s8"] = np.frombuffer(b"".join(b.column("s8").to_pylist()), np.uint8).reshape(len(k), -1)
-        cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1), len(k)]
-        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            part = {n: c[i:j] for n, c in cols.items()}
-            if held and held[-1][key][0] != part[key][0]:
-                yield {n: np.concatenate([h[n] for h in held]) for n in part} if len(held) > 1 else held[0]
-                held = []
-            held.append(part)
-    if held:
-        yield {n: np.concatenate([h[n] for h in held]) for n in held[0]}
-
-
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of the candidate pairs of each leaf, by estimate; with labels, of those between labels only."""
-    out: dict[tuple[int, int], float] = {}
+def links_within(v: np.ndarray, label: np.ndarray, odd: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between sets of different labels that put together all components the pairs with an odd end make.
+
+    A set is compared with all sets of other components at once. Sets of the largest component needn't be: all others are
+    odd, so each of them meets it in its own turn.
+    """
+    size = np.array([len(s) for s in sets])
+    row = np.repeat(np.arange(len(v)), size)
+    names, at = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(size)
+    _, comp = np.unique(label, return_inverse=True)
+    open_, out = odd.astype(bool).copy(), []
+    while True:
+        count = np.bincount(comp)
+        if (count > 0).sum() < 2:
+            return out
+        most = count.argmax()
+        rest = comp != most
+        todo = np.flatnonzero(open_ & rest if odd[rest].all() else open_)
+        if not len(todo):
+            return out
+        k = todo[0]
+        open_[k] = False
+        mine = np.zeros(len(names), bool)
+        mine[at[ends[k] - size[k] : ends[k]]] = True
+        both = np.bincount(row[mine[at]], minlength=len(v))
+        linked = np.flatnonzero((comp != comp[k]) & (100 * both >= percent * (size[k] + size - both)))
+        if len(linked):
+            joined, first = np.unique(comp[linked], return_index=True)
+            out += [(int(v[k]), int(v[j])) for j in linked[first]]
+            comp[np.isin(comp, joined)] = comp[k]
+
+
+def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links in each block of rows sorted by block; rows of a block may come in several batches."""
+    held: list[tuple[int, bool, bytes, int]] = []
+    block, out = None, []
+
+    def work():
+        v, first = np.unique(np.array([h[0] for h in held], np.int64), return_index=True)
+        if len(v) < 2:
+            return
+        odd = np.zeros(len(v), bool)
+        np.logical_or.at(odd, np.searchsorted(v, [h[0] for h in held]), [h[1] for h in held])
+        label = np.array([held[k][3] for k in first], np.int64)
+        out.extend(links_within(v, label, odd, [np.frombuffer(held[k][2], np.uint64) for k in first], percent))
 
     def rows():
         a, b = zip(*out, strict=True) if out else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(out.values(), pa.float64())], ["a", "b", "est"])
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    for g in _groups(batches, "node"):
-        v, s = g["v"], g["s8"]
-        v, first = np.unique(v, return_index=True)
-        s = s[first]
-        if len(v) < 2:
-            continue
-        up = {}
-        i, j = np.triu_indices(len(v), 1)
-        if "label" in g:
-            label = g["label"][first]
-            keep = label[i] != label[j]
-            i, j = i[keep], j[keep]
-        est = _same(s[i, :COORDS], s[j, :COORDS])
-        good = np.flatnonzero(est >= ESTIMATE)
-        if "label" in g:  # every pair between components is needed now, but for those that sharper sketches refute
-            est[good] = _same(s[i[good]], s[j[good]])
-            out.update(((int(v[i[k]]), int(v[j[k]])), float(est[k])) for k in good if est[k] >= SHARP_ESTIMATE)
-            good = ()
-
-        def root(x):
-            while up.get(x, x) != x:
-                x = up[x]
-            return x
-
-        for k in sorted(good, key=lambda k: -est[k]):
-            x, y = root(i[k]), root(j[k])
-            if x != y:
-                up[max(x, y)] = min(x, y)
-                out[int(v[i[k]]), int(v[j[k]])] = float(est[k])
+    for b in batches:
+        for key, *r in zip(*(b.column(c).to_pylist() for c in ("block", "v", "odd", "full", "label")), strict=True):
+            if key != block:
+                work()
+                held.clear()
+                block = key
+            held.append(tuple(r))
         if len(out) > 50_000:
             yield rows()
-            out.clear()
+    work()
     yield rows()
 
 
-def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of each block of a large node: of odd sets with sets of another component."""
-    for g in _groups(batches, "block"):
-        v, label, s = g["v"], g["label"], g["s8"]
-        odd, out = np.flatnonzero(g["odd"].astype(bool)), []
-        for k in range(0, len(odd), 32):
-            some = odd[k : k + 32]
-            est = _same(s[some, None, :COORDS], s[None, :, :COORDS])
-            i, j = np.nonzero((est >= ESTIMATE) & (label[some][:, None] != label[None, :]))
-            i = some[i]
-            est = _same(s[i], s[j])
-            keep = est >= SHARP_ESTIMATE
-            out.append((np.minimum(v[i], v[j])[keep], np.maximum(v[i], v[j])[keep], est[keep]))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b", "est"])
-
-
-def _sharp(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    claim(_hashes.clear)
-    for b in batches:
-        got = [sketch(shingles(t), SHARP).astype(np.uint8).tobytes() for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("v"), pa.array(got, pa.binary())], ["v", "s8"])
-
-
-def _confirmed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs with 100 * intersection >= percent * union, on the full sets."""
-    claim(_hashes.clear)
-    last, s = None, None
-    for b in batches:
-        keep = []
-        for a, x, y in zip(b.column("a").to_pylist(), b.column("text_a").to_pylist(), b.column("text_b").to_pylist(), strict=True):
-            if a != last:
-                last, s = a, shingles(x)
-            t = shingles(y)
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            keep.append(100 * both >= percent * (len(s) + len(t) - both))
-        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(v, label) of the vertices of ``edges`` (a, b): label is the smallest vertex of the component.
 
@@ -259,168 +228,120 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 class _Search:
-    """Candidates, confirmed links and labels over the sets (v, sketch, doc_id, h)."""
+    """Labels of components over the sets (v, w, sketch, doc_id, h), and the turns that put components together."""
 
-    def __init__(self, docs: DataFrame, sets: DataFrame, percent: int):
-        self.docs, self.sets, self.percent = docs, sets, percent
-        self.spark = sets.sparkSession
+    def __init__(self, sets: DataFrame, full: DataFrame, percent: int):
+        self.sets, self.full, self.percent = sets, full, percent
+        self.parts = partitions(sets.sparkSession)
         self.labels: DataFrame | None = None
 
-    def label(self, col: str):
-        """Adds a column with the label of ``col``; a set that nothing is linked to is its own."""
+    def label(self, rows: DataFrame, col: str = "v", to: str = "label") -> DataFrame:
+        """Adds the label of ``col``; a set that nothing is linked to is its own."""
         if self.labels is None:
-            return lambda df, to: df.withColumn(to, F.col(col))
-        return (lambda df, to: df.join(self.labels.select(F.col("v").alias(col), F.col("label").alias(to)), col, "left").withColumn(to, F.coalesce(to, col)))
-
-    def between(self, pairs: DataFrame) -> DataFrame:
-        """Pairs whose ends aren't connected, with the labels x and y."""
-        return self.label("b")(self.label("a")(pairs, "x"), "y").where("x != y")
-
-    def texts(self, need: DataFrame) -> DataFrame:
-        """(v, text) of the sets asked for."""
-        keys = self.sets.join(need, "v", "left_semi").select("v", F.col("doc_id").alias("d"), F.col("h").alias("k"))
-        texts = self.docs.join(keys, self.docs["doc_id"].eqNullSafe(keys["d"]) & (self.docs["h"] == keys["k"])).select("v", "text")
-        return texts.dropDuplicates(["v"])
-
-    def confirm(self, pairs: DataFrame) -> bool:
-        """Confirms pairs (a, b) on full sets and puts their ends' components together; whether any was confirmed."""
-        pairs = pairs.select("a", "b")
-        need = pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct()
-        texts = materialise(self.texts(need), "near-texts")
-        full = pairs.join(texts.select(F.col("v").alias("a"), F.col("text").alias("text_a")), "a")
-        full = full.join(texts.select(F.col("v").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+            return rows.withColumn(to, F.col(col))
+        known = self.labels.select(F.col("v").alias(col), F.col("label").alias(to))
+        return rows.join(known, col, "left").withColumn(to, F.coalesce(to, col))
+
+    def mixed(self, rows: DataFrame) -> DataFrame:
+        """(node, v, w, label, whole) of the nodes that hold several components; whole is the node's weight."""
+        rows = self.label(rows)
+        nodes = rows.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.sum("w").alias("whole"))
+        return materialise(rows.join(nodes.where("low != high").select("node", "whole"), "node"), "mixed")
+
+    def compare(self, blocks: DataFrame) -> None:
+        """Compares the sets of each block (block, v, label, odd) and puts the components of linked ones together."""
+        rows = blocks.join(self.full, "v").select("block", "v", "label", "odd", "full")
+        rows = rows.repartition(self.parts, "block").sortWithinPartitions("block")
         percent = self.percent
-        links = materialise(map_arrow(full, lambda it: _confirmed(it, percent), "a long, b long"), "links")
+        links = materialise(map_arrow(rows, lambda it: _linked(it, percent), "a long, b long"), "links")
         if links.isEmpty():
-            return False
+            return
         if self.labels is None:
             self.labels = materialise(components(links), "labels")
-            return True
-        over = components(self.between(links).select(F.col("x").alias("a"), F.col("y").alias("b")))
-        heads = materialise(over, "over")
-        old = self.labels.join(heads.withColumnRenamed("label", "new").withColumnRenamed("v", "label"), "label", "left")
-        old = old.select("v", F.coalesce("new", "label").alias("label"))
+            return
+        over = self.label(self.label(links, "a", "x"), "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        heads = materialise(components(over), "over")
+        old = self.labels.join(heads.select(F.col("v").alias("label"), F.col("label").alias("new")), "label", "left")
         new = heads.join(self.labels.select("v"), "v", "left_anti")
-        self.labels = materialise(old.unionByName(new), "labels")
-        return True
-
-    def resolve(self, pairs: DataFrame) -> None:
-        """Confirms or refutes all pairs (a, b, est) whose ends no other link connects, best of each component first."""
-        tried = None
-        for turn in range(1000):
-            open_ = self.between(pairs)
-            if tried is not None:
-                open_ = open_.join(tried, ["a", "b"], "left_anti")
-            if turn < 2:
-                side = open_.select("x", "a", "b", "est").unionByName(open_.select(F.col("y").alias("x"), "a", "b", "est"))
-                best = side.groupBy("x").agg(F.max_by(F.struct("a", "b"), F.struct("est", F.xxhash64("a", "b"))).alias("p"))
-                open_ = best.select("p.a", "p.b").distinct()
-            pick = materialise(open_.select("a", "b"), "picked")
-            if pick.isEmpty():
-                return
-            self.confirm(pick)
-            if turn >= 2:
-                return
-            tried = pick if tried is None else tried.unionByName(pick)
-
-
-def _leaves(sets: DataFrame, trees: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(node, v) of leaves with two sets at least, of all levels and of START; of nodes that are large at START, and at DEEPEST."""
-    rows = map_arrow(sets.select("v", "sketch"), lambda it: _roots(it, trees), "node long, v long")
-    leaves = first = start = None
-    for depth in range(START, DEEPEST + 1):
-        rows = rows.distinct() if depth > START else rows
-        n = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        rows = materialise(rows.join(n, "node"), "nodes")
-        leaf = rows.where(F.col("n") <= LEAF).select("node", "v")
-        leaves = leaf if leaves is None else leaves.unionByName(leaf)
-        rows = rows.where(F.col("n") > LEAF).select("node", "v")
-        if start is None:
-            first, start = leaf, rows
-        if rows.isEmpty():
-            break
-        if depth < DEEPEST:
-            rows = map_arrow(rows.join(sets.select("v", "sketch"), "v").select("node", "v", "sketch"), _branches, "node long, v long")
-    return leaves, first, start, rows
-
-
-def near_dedup(docs: DataFrame, percent: int = 80, trees: int = TREES) -> DataFrame:
+        self.labels = materialise(old.select("v", F.coalesce("new", "label").alias("label")).unionByName(new), "labels")
+
+    def turn(self, rows: DataFrame) -> None:
+        """Compares the nodes (node, v, w) that are small enough, and sends the sets of the others on."""
+        rows = self.mixed(rows)
+        leaves = rows.where(F.col("whole") <= BLOCK).select("node", "v", "label")
+        for depth in range(START, DEEPEST + 1):
+            large = rows.where(F.col("whole") > BLOCK)
+            if large.isEmpty():
+                break
+            if depth == DEEPEST:  # sets that agree in as many coordinates: in blocks, in an order of the node's own
+                part = F.pmod(F.xxhash64("node", "v"), F.ceil(F.col("whole") / BLOCK).cast("long"))
+                leaves = leaves.unionByName(large.select(F.xxhash64("node", part).alias("node"), "v", "label"))
+                break
+            on = large.select("node", "v", "w").join(self.sets.select("v", "sketch"), "v")
+            rows = self.mixed(map_arrow(on.select("node", "v", "w", "sketch"), _branches, "node long, v long, w long").distinct())
+            leaves = leaves.unionByName(rows.where(F.col("whole") <= BLOCK).select("node", "v", "label"))
+        self.compare(leaves.select(F.col("node").alias("block"), "v", "label", F.lit(True).alias("odd")))
+
+    def close(self, large: DataFrame) -> None:
+        """Compares what is not of the commonest component of its node (node, v, w) with all sets there, in blocks.
+
+        Where a node, or what is odd in it, weighs more than BLOCK it is sliced, and odd slices meet all slices.
+        """
+        rows = self.mixed(large)
+        sizes = rows.groupBy("node", "label").agg(F.sum("w").alias("part"), F.first("whole").alias("whole"))
+        nodes = sizes.groupBy("node").agg(F.max_by("label", F.struct("part", "label")).alias("common"), F.max("part").alias("part"), F.first("whole").alias("all"))
+        slices = lambda c: F.ceil(c / BLOCK).cast("int")
+        nodes = nodes.select("node", "common", slices(F.col("all")).alias("slices"), slices(F.col("all") - F.col("part")).alias("chunks"))
+        rows = rows.join(nodes, "node").withColumn("odd", F.col("label") != F.col("common"))
+        mine = lambda n: F.pmod(F.xxhash64("v"), F.col(n)).cast("int")
+        whole = rows.select("node", "v", "label", F.lit(False).alias("odd"), mine("slices").alias("s"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c"))
+        odd = rows.where("odd").select("node", "v", "label", "odd", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("s"), mine("chunks").alias("c"))
+        self.compare(whole.unionByName(odd).select(F.xxhash64("node", "s", "c").alias("block"), "v", "label", "odd"))
+
+
+def near_dedup(docs: DataFrame, percent: int = 80, turns: tuple[int, ...] = TURNS) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept, and key, the xxhash64 of the text.
 
     Two texts are linked if 100 * intersection >= percent * union of their sets of 2-word shingles, lower-cased; linked
-    texts are of one component, named by its smallest doc_id. A null text, or one without words, has the empty set and is
-    linked with nothing; ties and repeated rows have one component, and all rows with the kept id are kept. A row with a
-    null id is never kept unless it stands alone (its component is then null). An empty table gives an empty result.
+    texts are of one component, named by its smallest doc_id. ``turns``: how many trees are searched between one labelling
+    and the next. A null text, or one without words, has the empty set and is linked with nothing; ties and repeated rows
+    have one component, and all rows with the kept id are kept. A row with a null id is never kept unless it stands alone
+    (its component is then null). Whole texts count, however long they are; other columns are ignored. An empty table gives
+    an empty result.
     """
     rows = documents(docs, "doc_id", "text").withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
     kinds = "doc_id long, h long, n long, same binary, sketch binary"
     signed = materialise(map_arrow(rows, _signed, kinds), "signed")
     same = signed.where("n > 0").groupBy("same").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "h")).alias("rep"), F.max("sketch").alias("sketch"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "h")).alias("rep"), F.max("sketch").alias("sketch"), F.max("n").alias("n"),
     )
     sets = materialise(
-        same.select(F.monotonically_increasing_id().alias("v"), "same", F.col("rep.doc_id").alias("doc_id"), F.col("rep.h").alias("h"), "sketch"), "sets"
+        same.select(
+            F.monotonically_increasing_id().alias("v"), "same", F.col("rep.doc_id").alias("doc_id"), F.col("rep.h").alias("h"),
+            "sketch", (1 + F.col("n") / UNIT).cast("long").alias("w"),
+        ), "sets",
     )
-    eight = F.expr("unhex(regexp_replace(hex(sketch), '(..)..', '$1'))")
-    s8 = materialise(sets.select("v", eight.alias("s8")), "s8")
-    search = _Search(rows, sets, percent)
-
-    leaves, first, start, large = _leaves(sets, trees)
-    any_start, any_large = not start.isEmpty(), not large.isEmpty()
-    parts = partitions(rows.sparkSession)
-
-    def by_node(df):
-        cols = [c for c in df.columns if c != "v"]
-        return df.join(s8, "v").select(*cols, "v", "s8").repartition(parts, "node").sortWithinPartitions("node")
-
-    pairs = map_arrow(by_node(leaves), _forest, "a long, b long, est double")
-    if any_large:
-        n = large.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-        cut = large.join(n, "node").select(
-            F.xxhash64("node", F.pmod(F.xxhash64("node", "v"), F.ceil(F.col("n") / LEAF).cast("long"))).alias("node"), "v"
-        )
-        pairs = pairs.unionByName(map_arrow(by_node(cut), _forest, "a long, b long, est double"))
-    pairs = materialise(pairs.groupBy("a", "b").agg(F.max("est").alias("est")), "candidates")
-    search.resolve(pairs)
-    labelled = materialise(search.label("v")(first, "label"), "labelled")
-    mixed = labelled.groupBy("node").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("node")
-    open_ = materialise(labelled.join(mixed, "node"), "mixed")
-    blocks = _blocks(search, start) if any_start else None
-    need = open_.select("v").distinct() if blocks is None else open_.select("v").unionByName(blocks.select("v")).distinct()
-    sharp = materialise(map_arrow(search.texts(need), _sharp, "v long, s8 binary"), "sharp")
-    found = open_.join(sharp, "v").repartition(parts, "node").sortWithinPartitions("node")
-    more = map_arrow(found.select("node", "v", "label", "s8"), _forest, "a long, b long, est double")
-    if blocks is not None:
-        cols = ["block", "v", "label", "odd", "s8"]
-        found = blocks.join(sharp, "v").select(*cols).repartition(parts, "block").sortWithinPartitions("block")
-        more = more.unionByName(map_arrow(found, _between, "a long, b long, est double"))
-    more = materialise(more.groupBy("a", "b").agg(F.max("est").alias("est")).join(pairs, ["a", "b"], "left_anti"), "candidates")
-    search.resolve(more)
-
-    named = sets.select("v", "same", "doc_id")
-    labelled = search.label("v")(named, "label")
+    trees = sum(turns)
+    roots = map_arrow(sets.select("v", "w", "sketch"), lambda it: _roots(it, trees), "tree int, node long, v long, w long")
+    nodes = roots.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("all")).where("n > 1").select("node", "all")
+    roots = materialise(roots.join(nodes, "node"), "roots")
+
+    keys = sets.join(roots.select("v").distinct(), "v", "left_semi").select("v", F.col("doc_id").alias("d"), F.col("h").alias("k"))
+    texts = rows.join(keys, rows["doc_id"].eqNullSafe(keys["d"]) & (rows["h"] == keys["k"])).select("v", "text").dropDuplicates(["v"])
+    full = materialise(map_arrow(texts, _full, "v long, full binary"), "full")
+
+    search = _Search(sets, full, percent)
+    tree = 0
+    for n in turns:
+        search.turn(roots.where(F.col("tree").between(tree, tree + n - 1)).select("node", "v", "w"))
+        tree += n
+    large = roots.where(F.col("all") > BLOCK).select("node", "v", "w")
+    if not large.isEmpty():
+        search.close(large)
+
+    labelled = search.label(sets.select("v", "same", "doc_id"))
     least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = labelled.join(least, "label")
     out = signed.drop("sketch").join(named.select("same", F.col("component_id").alias("of")), "same", "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("of"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.col("h").alias("key"))
-
-
-def _blocks(search: _Search, large: DataFrame) -> DataFrame:
-    """(block, v, label, odd): large nodes that hold several components, dealt to blocks.
-
-    Odd sets are those outside a node's commonest component; each meets every set of its node in one block: where a node
-    has more than BLOCK sets, odd or not, its sets are sliced and odd and other slices are paired.
-    """
-    rows = search.label("v")(large, "label")
-    sizes = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
-    nodes = sizes.groupBy("node").agg(F.max_by("label", F.struct("n", "label")).alias("common"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    nodes = nodes.where("most < all").select(
-        "node", "common", F.ceil(F.col("all") / BLOCK).cast("int").alias("slices"), F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("chunks")
-    )
-    rows = rows.join(nodes, "node").withColumn("odd", F.col("label") != F.col("common"))
-    mine = lambda n: F.pmod(F.xxhash64("v"), F.col(n)).cast("int")
-    whole = rows.select("node", "v", "label", F.lit(False).alias("odd"), mine("slices").alias("s"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("c"))
-    odd = rows.where("odd").select("node", "v", "label", "odd", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("s"), mine("chunks").alias("c"))
-    both = whole.unionByName(odd).groupBy(F.xxhash64("node", "s", "c").alias("block"), "v", "label").agg(F.max("odd").alias("odd"))
-    return materialise(both, "blocks")
