@@ -21,6 +21,10 @@ class _Sanitiser(HTMLParser):
         self.open: list[str] = []
         self.skip = 0
 
+    def parse_marked_section(self, i, report=1):
+        """What begins with "<![" is no markup of HTML: it goes, up to its end."""
+        return self.rawdata.find(">", i) + 1 or -1
+
     def handle_starttag(self, tag, attrs):
         if tag in DROPPED:
             self.skip += tag != "embed"

@@ -12,33 +12,29 @@ SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
-def _decomposed() -> tuple[str, str]:
-    """Characters whose compatibility form less U+0300-036F is one character, and those forms; then those that vanish."""
-    pairs, gone = [], []
-    for c in map(chr, [*range(0xA0, 0x2150), *range(0xFF01, 0xFFEF)]):
-        low = c.lower()
-        if low != c:
-            continue
-        d = "".join(x for x in unicodedata.normalize("NFKD", c) if not "\u0300" <= x <= "\u036f")
-        if not d:
-            gone.append(c)
-        elif d != c and len(d) == 1:
-            pairs.append((c, d))
-    return "".join(a for a, _ in pairs) + "".join(gone), "".join(b for _, b in pairs)
+#: Latin letters with marks, U+00C0-024F, as their base letters where these are one: what most texts need.
+_LATIN = {c: d for c in map(chr, range(0xA0, 0x250)) if c.lower() == c and len(d := "".join(x for x in unicodedata.normalize("NFKD", c) if not "\u0300" <= x <= "\u036f")) == 1 and d != c}
+#: Other characters, and those of the range above whose decomposition is longer: these go by Unicode's tables.
+_OTHER = "[" + "".join(c for c in map(chr, range(0xA0, 0x250)) if c not in _LATIN and unicodedata.normalize("NFKD", c) != c and c.lower() == c) + "\u0250-\U0010ffff]"
 
 
-_FROM, _TO = _decomposed()
+def decomposed(c: Column) -> Column:
+    """Compatibility decomposition (NFKD) of any text, by the Unicode tables that come with Spark."""
+    return F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("decompose"), c, F.lit(True))
 
 
 def fold(c: Column) -> Column:
     """Lower case, ligatures spelled out, compatibility decomposition, combining marks off, spaces collapsed and trimmed.
 
-    Idempotent. A character whose decomposition has several letters (as U+FB01) needs ``unicode.fold_exact``.
+    Queries and texts go through the same fold, in the JVM. Text that is Latin takes a table; other text is decomposed by
+    ``decomposed``. Folding twice is folding once but for a ligature under a mark, as U+01FD, which the second one spells out.
     """
     c = F.lower(c)
     for a, b in (("æ", "ae"), ("œ", "oe"), ("ß", "ss")):
         c = F.replace(c, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(F.translate(c, _FROM, _TO), SPACE, " "))
+    latin = F.translate(c, "".join(_LATIN), "".join(_LATIN.values()))
+    any_ = F.regexp_replace(decomposed(c), "[\u0300-\u036f]", "")
+    return F.trim(F.regexp_replace(F.when(c.rlike(_OTHER), any_).otherwise(latin), SPACE, " "))
 
 
 def fold_search(c: Column) -> Column:
