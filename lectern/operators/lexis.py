@@ -24,17 +24,25 @@ def familiarity(status: Column, encounters: Column, days: Column, lookups: Colum
     return F.when(is_known(status), "known").when(likely, "likely-familiar").when(met, "met").otherwise("new")
 
 
+def _n(tokens: DataFrame) -> Column:
+    """How many running words: rows, or what the column n of rows that are counted already adds up to."""
+    return (F.sum("n") if "n" in tokens.columns else F.count(F.lit(1))).alias("n")
+
+
 def lemma_counts(tokens: DataFrame, text: list[str], lemma: str) -> DataFrame:
     """Running words and unrecognised ones (null lemma) of each text, and its counts by lemma as rows."""
-    return tokens.groupBy(*text, lemma).agg(F.count(F.lit(1)).alias("n"))
+    return tokens.groupBy(*text, lemma).agg(_n(tokens))
 
 
 def core_words(counts: DataFrame, names: DataFrame, group: str, lemma: str, n: int = CORE_WORDS) -> DataFrame:
-    """(group, lemma, n, rank, share): the n commonest lemmas that aren't names; share of all running words, names included."""
+    """(group, lemma, n, rank, share): the n commonest lemmas that aren't names; share of all running words, names included.
+
+    names is (group, lemma), or (lemma) where a name is one in every group.
+    """
     totals = counts.groupBy(group, lemma).agg(F.sum("n").alias("n"))
     words = totals.groupBy(group).agg(F.sum("n").alias("words"))
     w = Window.partitionBy(group).orderBy(F.col("n").desc(), F.col(lemma))
-    top = totals.join(names, [group, lemma], "left_anti").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    top = totals.join(names, [c for c in (group, lemma) if c in names.columns], "left_anti").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
     return top.join(words, group).withColumn("share", F.col("n") / F.col("words")).drop("words")
 
 
@@ -58,7 +66,7 @@ def names(per: DataFrame, group: list[str], key: str, surface: str) -> DataFrame
 
 def division_coverage(tokens: DataFrame, lexicon: DataFrame, text: list[str], key: str) -> DataFrame:
     """Exact coverage of each text: tokens, known tokens, lexemes, known lexemes; lexicon is (key, lexeme, known)."""
-    per = tokens.groupBy(*text, key).agg(F.count(F.lit(1)).alias("n"))
+    per = tokens.groupBy(*text, key).agg(_n(tokens))
     j = per.join(lexicon, key, "left")
     return j.groupBy(*text).agg(
         F.sum("n").alias("tokens"), F.sum(F.when(F.col("known"), F.col("n")).otherwise(0)).alias("known_tokens"),
@@ -68,7 +76,7 @@ def division_coverage(tokens: DataFrame, lexicon: DataFrame, text: list[str], ke
 
 def work_coverage(tokens: DataFrame, lexicon: DataFrame, work: list[str], key: str) -> DataFrame:
     """Coverage by forms: recognised tokens and forms of a work, and its known tokens estimated by the share of known forms."""
-    forms = tokens.groupBy(*work, key).agg(F.count(F.lit(1)).alias("n")).join(lexicon, key, "left")
+    forms = tokens.groupBy(*work, key).agg(_n(tokens)).join(lexicon, key, "left")
     there = F.col("lexeme").isNotNull()
     out = forms.groupBy(*work).agg(
         F.sum("n").alias("tokens"), F.sum(F.when(there, F.col("n")).otherwise(0)).alias("recognized"),
@@ -80,7 +88,7 @@ def work_coverage(tokens: DataFrame, lexicon: DataFrame, work: list[str], key: s
 
 def forecast(tokens: DataFrame, classes: DataFrame, text: list[str], key: str) -> DataFrame:
     """Words by familiarity class and weighted coverage; classes is (key, class), a missing key is unrecognised."""
-    j = tokens.groupBy(*text, key).agg(F.count(F.lit(1)).alias("n")).join(classes, key, "left")
+    j = tokens.groupBy(*text, key).agg(_n(tokens)).join(classes, key, "left")
     of = lambda c: F.sum(F.when(F.col("class") == c, F.col("n")).otherwise(0))
     weight = sum((of(c) * w for c, w in WEIGHTS.items()), F.lit(0.0))
     return j.groupBy(*text).agg(

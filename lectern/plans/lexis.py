@@ -52,15 +52,14 @@ def proper_name_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {sql.TOKENS} SELECT lang, count(*) AS tokens, count(DISTINCT key) AS forms, count(DISTINCT work_id) AS works, count(*) / count(DISTINCT key) AS per_form FROM tokens GROUP BY lang")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.size(word_tokens(fold(F.col("text"))))
-    d = table(spark, sf_dir, "documents").select("lang", "doc_id", words.alias("n")).where("n > 0")
-    running = d.groupBy("lang").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("works"))
-    forms = tables.vocabulary(spark, sf_dir).select("lang", "key").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("forms"))
+    c = tables.counts(spark, sf_dir)
+    running = c.groupBy("lang", "work_id").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("works"))
+    forms = c.select("lang", "key").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("forms"))
     return running.join(forms, "lang").select("lang", "tokens", "forms", "works", (F.col("tokens") / F.col("forms")).alias("per_form"))
 
 
 def core(spark: SparkSession, sf_dir: str, n: int = CORE) -> DataFrame:
-    counts = lexis.lemma_counts(tables.tokens(spark, sf_dir), ["lang"], "key")
+    counts = lexis.lemma_counts(tables.counts(spark, sf_dir), ["lang"], "key")
     return lexis.core_words(counts, name_keys(spark, sf_dir).select("lang", "key"), "lang", "key", n)
 
 
@@ -76,7 +75,7 @@ def core_words_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(key, lexeme, known): words of three works at least; those that are core in some language count as known."""
-    t = tables.vocabulary(spark, sf_dir).groupBy("key").agg(F.count(F.lit(1)).alias("works")).where("works >= 3")
+    t = tables.counts(spark, sf_dir).groupBy("key").agg(F.count(F.lit(1)).alias("works")).where("works >= 3")
     known = core(spark, sf_dir).select("key").distinct().withColumn("core", F.lit(True))
     return t.join(known, "key", "left").select("key", F.col("key").alias("lexeme"), F.coalesce("core", F.lit(False)).alias("known"))
 
@@ -88,7 +87,7 @@ _LEXICON = f"""{_CORE}, lexicon AS (SELECT key, key IN (SELECT key FROM core) AS
     SELECT work_id, sum(n)::BIGINT AS tokens, sum(CASE WHEN known THEN n ELSE 0 END)::BIGINT AS known_tokens, count(lexicon.key) AS lexemes,
            count(*) FILTER (known) AS known_lexemes FROM p LEFT JOIN lexicon ON lexicon.key = p.key GROUP BY work_id""")
 def division_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexis.division_coverage(tables.tokens(spark, sf_dir), lexicon(spark, sf_dir), ["work_id"], "key")
+    return lexis.division_coverage(tables.counts(spark, sf_dir), lexicon(spark, sf_dir), ["work_id"], "key")
 
 
 @query(f"""WITH {_LEXICON}, p AS (SELECT author, key, count(*) AS n FROM tokens GROUP BY author, key),
@@ -97,14 +96,14 @@ def division_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT author, tokens::BIGINT AS tokens, recognized::BIGINT AS recognized, forms, recognized_forms, known_forms,
            CASE WHEN recognized_forms > 0 THEN floor(recognized * known_forms / recognized_forms + 0.5)::BIGINT ELSE 0 END AS known_tokens FROM s""")
 def text_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexis.work_coverage(tables.tokens(spark, sf_dir), lexicon(spark, sf_dir), ["author"], "key")
+    return lexis.work_coverage(tables.counts(spark, sf_dir), lexicon(spark, sf_dir), ["author"], "key")
 
 
 @query(f"""WITH {_LEXICON} SELECT key, count(*) AS n, CASE WHEN regexp_matches(key, '[0-9]') THEN 'number' WHEN length(key) <= 2 THEN 'abbreviation' ELSE 'unknown' END AS reason
     FROM tokens WHERE key NOT IN (SELECT key FROM lexicon) GROUP BY key ORDER BY n DESC, key LIMIT 200""")
 def unrecognised_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     reason = F.when(F.col("key").rlike("[0-9]"), "number").when(F.length("key") <= 2, "abbreviation").otherwise("unknown")
-    t = tables.tokens(spark, sf_dir).groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(lexicon(spark, sf_dir), "key", "left_anti")
+    t = tables.counts(spark, sf_dir).groupBy("key").agg(F.sum("n").alias("n")).join(lexicon(spark, sf_dir), "key", "left_anti")
     return t.select("key", "n", reason.alias("reason")).orderBy(F.col("n").desc(), "key").limit(200)
 
 
@@ -117,7 +116,7 @@ def unit_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes stand in for a reader's record: core words are known, short ones likely familiar, middling ones met."""
     n = F.length("key")
     c = F.when(F.col("known"), "known").when(n <= 4, "likely-familiar").when(n <= 7, "met").otherwise("new")
-    return lexis.forecast(tables.tokens(spark, sf_dir), lexicon(spark, sf_dir).select("key", c.alias("class")), ["work_id"], "key")
+    return lexis.forecast(tables.counts(spark, sf_dir), lexicon(spark, sf_dir).select("key", c.alias("class")), ["work_id"], "key")
 
 
 _RAW = "list_filter(regexp_split_to_array(text, '[^\\p{L}\\p{N}]+'), lambda t: t <> '')"
@@ -150,7 +149,7 @@ def key_surface_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {sql.TOKENS} SELECT work_id, key AS lemma, count(*) AS n FROM tokens GROUP BY work_id, key""")
 def lemma_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexis.lemma_counts(tables.tokens(spark, sf_dir).withColumnRenamed("key", "lemma"), ["work_id"], "lemma")
+    return lexis.lemma_counts(tables.counts(spark, sf_dir).withColumnRenamed("key", "lemma"), ["work_id"], "lemma")
 
 
 @query()
@@ -161,7 +160,8 @@ def lossless_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.withColumnRenamed("id", "doc_id")
 
 
-@query()
+@query(f"""WITH {sql.PASSAGES}, s AS (SELECT work_id, trim(unnest({sql.sentences('text')})) AS s FROM passages)
+    SELECT work_id, count(*) AS sentences, max(length(s))::INT AS longest FROM s WHERE s <> '' GROUP BY work_id""")
 def sentence_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = tables.passages(spark, sf_dir).select("work_id", F.explode(sentences(F.col("text"))).alias("s"))
     return s.groupBy("work_id").agg(F.count(F.lit(1)).alias("sentences"), F.max(F.length("s")).alias("longest"))

@@ -11,6 +11,11 @@ def words(x: str) -> str:
     return f"list_filter(regexp_split_to_array({x}, '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
 
 
+def sentences(x: str) -> str:
+    """Sentences of a line; RE2 has no look-behind, so the space behind an end mark becomes a newline first."""
+    return f"regexp_split_to_array(regexp_replace({x}, '([.;·!?])\\s+', '\\1' || chr(10), 'g'), '\\n+')"
+
+
 WORKS = "works AS (SELECT doc_id AS work_id, source AS author, lang, CASE WHEN source <> 'src0' THEN source END AS translator FROM documents)"
 PASSAGES = """passages AS (SELECT * FROM (SELECT doc_id AS work_id, source AS author, lang, unnest(range(len(string_split(text, chr(10)))))::INT AS pos,
     unnest(string_split(text, chr(10))) AS text FROM documents) WHERE text <> '')"""

@@ -44,6 +44,13 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("work_id"), F.col("source").alias("author"), "lang", F.explode(word_tokens(fold(F.col("text")))).alias("key"))
 
 
+def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(work_id, author, lang, key, n): running words of folded text, counted where a work is read. Whatever needs counts, by
+    work, language or key, is a sum over this one aggregate, so its shuffle is made once a query and reused.
+    """
+    return tokens(spark, sf_dir).groupBy("work_id", "author", "lang", "key").agg(F.count(F.lit(1)).alias("n"))
+
+
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(work_id, lang, key): the different words of each work, made distinct where the work is read."""
     d = table(spark, sf_dir, "documents")

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.functions import text
 from lectern.operators import course, evidence, lexicon, lexis, library, quality, search
 
 
@@ -106,6 +107,12 @@ def test_search_ranks(spark):
     assert search.search(df, " ,. ", [F.col("id")]).count() == 0
 
 
+def test_search_folds_query_and_text_alike(spark):
+    df = spark.createDataFrame([(1, "한국 사람"), (2, "the ﬁnal word"), (3, "½ cup"), (4, "ΛΌΓΟΣ")], "id int, text string").withColumn("folded", text.fold(F.col("text")))
+    hits = lambda q: [r.id for r in search.search(df, q, [F.col("id")]).collect()]
+    assert [hits(q) for q in ("한국", "final", "ﬁnal", "1⁄2 cup", "λόγος")] == [[1], [2], [2], [3], [4]]
+
+
 def test_readings(spark):
     forms = spark.createDataFrame([(0, "λόγος", "λογοσ", "L1"), (1, "λογός", "λογοσ", "L2")], "pos int, key string, folded string, lexeme string")
     tokens = spark.createDataFrame([("λόγος", "λογοσ"), ("λογος", "λογοσ"), ("και", "και")], "k string, f string")
@@ -158,6 +165,56 @@ def test_greedy_order():
     assert sorted(order) == sorted({(c[0], c[2]) for c in counts})
 
 
+def brute_order(counts, core, names):
+    """Every candidate scored anew at each step."""
+    sections, author = collections.defaultdict(collections.Counter), {}
+    for work, who, section, lemma, n in counts:
+        sections[work, section][lemma] += n
+        author[work] = who
+    met, out, last, run = collections.Counter({c: 3 for c in core}), [], None, 0
+    while len(out) < len(sections):
+        best = None
+        for work in author:
+            rest = sorted(s for w, s in sections if w == work and (w, s) not in out)
+            if not rest:
+                continue
+            c = sections[work, rest[0]]
+            words = max(1, c.total())
+            known = sum(n for k, n in c.items() if k is not None and (k in names or met[k] >= 3))
+            new = sum(1 for k in c if k is not None and k not in names and not met[k])
+            cost = min(0.12, 0.03 * run) if author[work] and author[work] == last else 0.0
+            key = (-round(known / words - cost, 12), round(new / words * 100, 12), work)
+            best = min(best or (key, rest[0]), (key, rest[0]))
+        work, section = best[0][2], best[1]
+        out.append((work, section))
+        met.update(sections[work, section])
+        run = run + 1 if author[work] and author[work] == last else 1
+        last = author[work]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_greedy_order_against_brute_force(seed):
+    rng = random.Random(seed)
+    counts = [(f"w{w}", "AB "[w % 3].strip(), s, rng.choice([None, *"abcdefghij"]), rng.randint(1, 4)) for w in range(7) for s in range(rng.randint(1, 5)) for _ in range(rng.randint(1, 8))]
+    assert course.greedy_order(counts, set("ab"), set("cd")) == brute_order(counts, set("ab"), set("cd"))
+
+
+def test_easy_sentences(spark):
+    """A verb is needed, names stand for core words, a text counts once, six candidates a work, three taken, ties by text."""
+    core = spark.createDataFrame([("la", "a", 1), ("la", "b", 2), ("la", "c", 3), ("la", "v", 4)], "lang string, key string, rank int")
+    names, verbs = (spark.createDataFrame([("la", k)], "lang string, key string") for k in "nv")
+    texts = [("w1", ["a a v", "a b c", "n a v", "x a v", "a v", "b b v", "c c v", "a b v", "a c v", "a v a a a a a a a a", "b a v"]), ("w2", ["a a v", "v v v v v v v v v v"])]
+    rows = [("la", w, k, t, t.split(" ")) for w, some in texts for k, t in enumerate(some)]
+    got = course.easy_sentences(spark.createDataFrame(rows, "lang string, work string, pos int, text string, words array<string>"), core, names, verbs)
+    assert sorted((r.work, r.text, round(r.score, 3)) for r in got.collect()) == [("w1", "a a v", 2.0), ("w1", "a b v", 2.333), ("w1", "a c v", 2.667)]
+
+
+def test_sibling_id(spark):
+    df = spark.createDataFrame([("iliad-grc",), ("inferno-it",), ("summa-en",), ("summa",)], "w string")
+    assert [r[0] for r in df.select(course.sibling_id(F.col("w"))).collect()] == ["iliad-en", "inferno-en", "summa-en-en", "summa-en"]
+
+
 def test_running_coverage_invariants(spark):
     rng = random.Random(1)
     counts = spark.createDataFrame([("c", p, f"l{rng.randrange(12)}", rng.randint(1, 3)) for p in range(20) for _ in range(1)], "course string, pos int, lemma string, n long")
