@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.plans import course, evidence, lexicon, lexis, library, quality, reader
+from lectern.plans import building, course, evidence, lexicon, lexis, library, quality, reader
 
-MODULES = (library, lexis, evidence, course, lexicon, quality, reader)
+MODULES = (library, lexis, evidence, course, lexicon, quality, reader, building)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

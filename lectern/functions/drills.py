@@ -25,6 +25,15 @@ def generator(seed: int) -> Callable[[], float]:
     return draw
 
 
+def picks(seed: int, size: int, most: int) -> list[int]:
+    """Up to ``most`` different places under ``size``, in order, by a linear congruential generator in double arithmetic."""
+    found: set[int] = set()
+    while len(found) < min(most, size):
+        seed = int(float(seed) * 1103515245.0 + 12345.0) & 0x7FFFFFFF
+        found.add(int(seed / 0x7FFFFFFF * size))
+    return sorted(found)
+
+
 def shuffled(values: list, draw: Callable[[], float]) -> list:
     """Fisher-Yates from the end."""
     out = list(values)

@@ -99,6 +99,22 @@ def verbal(tags: Column) -> Column:
     )
 
 
+# Greek dictionary tags by kind, in the order a cell names them.
+GREEK_TENSES = {"aorist": "aor", "present": "pres", "imperfect": "impf", "future": "fut", "perfect": "perf", "pluperfect": "plup"}
+GREEK_MOODS = {"indicative": "ind", "subjunctive": "subj", "optative": "opt", "imperative": "imp", "infinitive": "inf", "participle": "ptcp"}
+GREEK_OTHERS = [PERSONS, CASES, {"singular": "sg", "dual": "du", "plural": "pl"}, GENDERS, {"comparative": "comp", "superlative": "sup"}]
+
+
+def greek_combo(tags: Column) -> Column:
+    """"aor ind act 3 sg" of a Greek cell: its first tense and mood, its voice (middle and passive together are "mp"), and all else in order."""
+    of = lambda table: F.array_compact(F.transform(tags, lambda t: F.create_map(*(F.lit(x) for kv in table.items() for x in kv))[t]))
+    first = lambda table: F.slice(of(table), 1, 1)
+    voice = (
+        F.when(_has(tags, "middle", "passive"), "mp").when(_has(tags, "active"), "act").when(_has(tags, "middle"), "mid").when(_has(tags, "passive"), "pass")
+    )
+    return F.array_join(F.array_distinct(F.concat(first(GREEK_TENSES), first(GREEK_MOODS), F.array_compact(F.array(voice)), *map(of, GREEK_OTHERS))), " ")
+
+
 def sort_key(morph: Column) -> Column:
     """Order of readings of one lexeme, as a struct: cells with a case first, by number and case, then verbs by mood and tense.
 

@@ -34,6 +34,57 @@ def pool(keys: DataFrame, entries: DataFrame, enclitics: tuple[str, ...] = ("que
     return direct.unionByName(first(cut, "base").join(cut.select("key", "stripped"), "key"))
 
 
+def lookup_all(lemmas: DataFrame, spellings: Column, entries: DataFrame) -> DataFrame:
+    """(lemma, entry, at): entries of a lemma's first spelling that has any, of the wanted class if one of them is, else all.
+
+    lemmas is (lemma, wanted), spellings an array column over it, entries (headword, entry, class, at) with ``at`` the order
+    of homographs. A null class is one that isn't asked for.
+    """
+    tried = lemmas.select("lemma", "wanted", F.posexplode(spellings).alias("nth", "headword"))
+    hits = tried.join(entries, "headword")
+    first = hits.groupBy("lemma", "wanted").agg(F.min("nth").alias("nth"))
+    hits = hits.join(first.withColumnRenamed("wanted", "w"), (hits["lemma"] == first["lemma"]) & hits["wanted"].eqNullSafe(F.col("w")) & (hits["nth"] == first["nth"]), "left_semi")
+    fits = F.coalesce(F.col("class") == F.col("wanted"), F.lit(False))
+    any_ = F.max(fits).over(Window.partitionBy("lemma", "wanted"))
+    return hits.withColumn("fits", fits).withColumn("any", any_).where("fits or not any").select("lemma", "entry", "at")
+
+
+def pick_headword(wanted: DataFrame, entries: DataFrame) -> DataFrame:
+    """(headword, pos, entry): of several entries of a headword one of the wanted class, else a main one, else the first.
+
+    wanted is (headword, pos), entries (headword, entry, class, main, at). A single entry is taken whatever its class.
+    """
+    order = F.struct((~F.coalesce(F.col("class") == F.col("pos"), F.lit(False))).alias("other"), (~F.col("main")).alias("side"), "at")
+    by_class = wanted.join(entries, "headword").withColumn("order", order)
+    return by_class.groupBy("headword", "pos").agg(F.min_by("entry", F.struct("order.other", F.when(~F.col("order.other"), False).otherwise(F.col("order.side")), "order.at")).alias("entry"))
+
+
+def gated(analyses: DataFrame, first: DataFrame, second: DataFrame, lemma: str) -> DataFrame:
+    """Analyses whose lemma one of two dictionaries knows: a semi-join against both lemma sets."""
+    return analyses.join(first.select(lemma).unionByName(second.select(lemma)).distinct(), lemma, "left_semi")
+
+
+def signature_weights(candidates: DataFrame, counts: DataFrame) -> DataFrame:
+    """(signature, weight): running words of the keys by what their fallback candidates look like, each key once a signature."""
+    return candidates.select("key", "signature").distinct().join(counts, "key").groupBy("signature").agg(F.sum("n").alias("weight"))
+
+
+def work_files(works: DataFrame, files: DataFrame, overrides: DataFrame) -> DataFrame:
+    """(work, file): works and corpus files by author and work number; an override goes before what a work's text says.
+
+    works is (work, author, number), files (file, author, number), overrides (work, author, number), null for no match.
+    """
+    fixed = overrides.select("work", F.col("author").alias("a"), F.col("number").alias("n"), F.lit(True).alias("fixed"))
+    known = works.join(fixed, "work", "left")
+    known = known.select("work", F.when(F.col("fixed"), F.col("a")).otherwise(F.col("author")).alias("author"), F.when(F.col("fixed"), F.col("n")).otherwise(F.col("number")).alias("number"))
+    return known.join(files, ["author", "number"]).select("work", "file")
+
+
+def form_counts(readings: DataFrame) -> DataFrame:
+    """(work, lexeme, forms): how many different forms of a work have a lexeme as their best reading (rank 0)."""
+    return readings.where("rank = 0").groupBy("work", "lexeme").agg(F.countDistinct("key").alias("forms"))
+
+
 def homographs(entries: DataFrame, by: list[str], weight: str, entry: str, lemma: str) -> DataFrame:
     """Adds lexeme_id: entries of one lemma and class numbered by weight; the first has no number."""
     w = Window.partitionBy(*by).orderBy(F.col(weight).desc(), F.col(entry))

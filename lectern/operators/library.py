@@ -41,9 +41,40 @@ def stops(flat: DataFrame, title: Column) -> DataFrame:
 
 
 def toggled(events: DataFrame, group: str, key: str, order: list[str]) -> DataFrame:
-    """Keys that an odd number of toggles leave in the set, with the time of the last one, newest first."""
+    """Keys that an odd number of toggles leave in the set, with the time of the last one and their place, newest first."""
     out = events.groupBy(group, key).agg(F.count(F.lit(1)).alias("n"), F.max(F.struct(*order)).alias("last"))
-    return out.where(F.col("n") % 2 == 1).select(group, key, F.col(f"last.{order[0]}").alias("added"))
+    place = F.row_number().over(Window.partitionBy(group).orderBy(F.col("last").desc(), key))
+    return out.where(F.col("n") % 2 == 1).select(group, key, F.col(f"last.{order[0]}").alias("added"), place.alias("place"))
+
+
+def top_level(parts: DataFrame) -> DataFrame:
+    """(work, pos, id, label, path): a work's parts in order; a Latin work has its preface before them.
+
+    parts is (work, lang, pos, id, label).
+    """
+    rows = parts.select("work", "pos", "id", "label", F.concat(F.lit("/part/"), "id").alias("path"))
+    preface = parts.where("lang = 'la'").select("work").distinct()
+    return rows.unionByName(preface.select("work", F.lit(-1).cast(rows.schema["pos"].dataType).alias("pos"), F.lit("prooemium").alias("id"), F.lit("Proœmium").alias("label"), F.lit("/prooemium").alias("path")))
+
+
+def available(works: DataFrame, bundles: DataFrame, languages: list[str]) -> DataFrame:
+    """Works in a language that the tables of ``bundles`` (lang) have, of those that are supported at all."""
+    return works.where(F.col("lang").isin(*languages)).join(bundles.select("lang").distinct(), "lang", "left_semi")
+
+
+def by_year(authors: DataFrame, year: str, name: str) -> DataFrame:
+    """Authors by sort year, those without one last, then by name."""
+    return authors.orderBy(F.col(year).asc_nulls_last(), name)
+
+
+def split_misplaced(passages: DataFrame, incipits: DataFrame) -> DataFrame:
+    """Passages (div, pos, text) keyed anew from where a known incipit begins: (div, pos, text) with the right division.
+
+    incipits is (div, incipit, right): from the first passage of ``div`` that begins so, all that follow are of ``right``.
+    """
+    hit = passages.join(incipits, "div").where(F.startswith("text", "incipit")).groupBy("div").agg(F.min_by("right", "pos").alias("right"), F.min("pos").alias("from"))
+    j = passages.join(hit, "div", "left")
+    return j.select(F.when(F.col("pos") >= F.col("from"), F.col("right")).otherwise(F.col("div")).alias("div"), "pos", "text")
 
 
 def title_summary(rows: DataFrame, group: str, title: str, order: str) -> DataFrame:

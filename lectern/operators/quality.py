@@ -59,12 +59,68 @@ def violations(rows: DataFrame, on: str, parents: DataFrame, key: str, limit: in
 
 
 def contiguous(rows: DataFrame, group: str, number: str) -> DataFrame:
-    """(group, rows, reordered, contiguous): whether the numbers are 1..n, and whether rows stand in their order."""
+    """(group, rows, contiguous): whether the numbers of a group's rows are 1..n, in whatever order they stand."""
     w = Window.partitionBy(group).orderBy(number)
     r = rows.withColumn("__at", F.row_number().over(w))
     return r.groupBy(group).agg(F.count(F.lit(1)).alias("rows"), F.bool_and(F.col("__at") == F.col(number)).alias("contiguous"))
 
 
+def reordered(rows: DataFrame, group: str, at: str, number: str) -> DataFrame:
+    """(group, reordered): how many of a group's rows stand (by ``at``) behind one with a larger number."""
+    before = F.max(number).over(Window.partitionBy(group).orderBy(at).rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("__back", F.coalesce(F.col(number) < before, F.lit(False))).groupBy(group).agg(F.count_if("__back").alias("reordered"))
+
+
+def probe_accounting(paragraphs: DataFrame, output: DataFrame, furniture: list[str], allowed: list[str]) -> DataFrame:
+    """(id, verdict): whether 60 characters from the middle of a paragraph occur in its work: "found" or "missing".
+
+    paragraphs is (work, id, text), output (work, text); spaces are collapsed in both. Paragraphs under 40 characters are
+    "short"; furniture, and what begins with an allowed prefix, is "allowed". A probe meets the texts of its own work only.
+    """
+    plain = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    p = paragraphs.select("work", "id", plain(F.col("text")).alias("text"))
+    start = F.greatest(F.lit(0), F.floor(F.length("text") / 2).cast("int") - 30)
+    exempt = F.col("text").isin(*furniture) if furniture else F.lit(False)
+    for prefix in allowed:
+        exempt = exempt | F.startswith("text", F.lit(prefix))
+    p = p.withColumn("probe", F.substring(F.col("text"), start + 1, F.lit(PROBE))).withColumn("kind", F.when(F.length("text") < SHORT, "short").when(exempt, "allowed"))
+    hits = p.where("kind is null").join(output.select("work", plain(F.col("text")).alias("whole")), "work").where(F.contains("whole", "probe"))
+    found = hits.select("work", "id", F.lit("found").alias("hit")).distinct()
+    return p.join(found, ["work", "id"], "left").select("work", "id", F.coalesce("kind", "hit", F.lit("missing")).alias("verdict"))
+
+
+def marker_counts(rows: DataFrame, group: str, markers: list[str]) -> DataFrame:
+    """(group, marker, n): how often each marker occurs in a group's texts; markers that don't occur aren't listed."""
+    each = F.array(*(F.struct(F.lit(m).alias("marker"), ((F.length("text") - F.length(F.replace(F.col("text"), F.lit(m), F.lit("")))) / len(m)).cast("long").alias("n")) for m in markers))
+    return rows.select(group, F.explode(each).alias("m")).groupBy(group, "m.marker").agg(F.sum("m.n").alias("n")).where("n > 0")
+
+
+def expected(truth: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """(key, expected, actual, verdict) of a ground-truth table (key, expected) and the rows that are there; fewer is an error, more a warning."""
+    there = rows.groupBy(key).agg(F.count(F.lit(1)).alias("actual"))
+    j = truth.join(there, key, "left").withColumn("actual", F.coalesce("actual", F.lit(0)))
+    return j.withColumn("verdict", F.when(F.col("actual") < F.col("expected"), "error").when(F.col("actual") > F.col("expected"), "warn").otherwise("ok"))
+
+
+def bundle_findings(readings: DataFrame, lexemes: DataFrame, shards: DataFrame, pos: list[str], tags: list[str]) -> DataFrame:
+    """(level, check, message) of a lexicon bundle: duplicate readings, lexemes that aren't there, tags outside the vocabulary,
+    confidence outside (0, 1], lexemes without a gloss or of no known class, and lexemes that their shard doesn't hold.
+
+    readings is (key, lexeme, morph, conf), lexemes (lexeme, pos, gloss), shards (lexeme).
+    """
+    name = F.concat_ws(" ", "key", "lexeme")
+    twice = readings.groupBy("key", "lexeme", "morph").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    words = F.filter(F.split("morph", " "), lambda t: t != "")
+    odd_tags = F.array_except(F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), F.array(*map(F.lit, tags)))
+    tagged = readings.where("morph <> ''")
+    return findings([
+        (twice, "error", "duplicate reading", name), (readings.join(lexemes, "lexeme", "left_anti"), "error", "unknown lexeme", name),
+        (tagged.where(~F.get(words, F.lit(0)).isin(*pos)), "error", "class of tags", F.col("morph")), (tagged.where(F.size(odd_tags) > 0), "error", "unknown tag", F.array_join(odd_tags, " ")),
+        (readings.where("conf <= 0 or conf > 1"), "error", "confidence", name), (lexemes.where("coalesce(gloss, '') = ''"), "error", "no gloss", F.col("lexeme")),
+        (lexemes.where(~F.col("pos").isin(*pos)), "error", "class of lexeme", F.col("lexeme")), (readings.select("lexeme").distinct().join(shards, "lexeme", "left_anti"), "error", "not in its shard", F.col("lexeme")),
+    ])
+
+
 def missing_duplicate(source: DataFrame, output: DataFrame, key: list[str]) -> DataFrame:
     """(key, n_in, n_out, verdict): rows of the source against those of the output, from both sides."""
     a = source.groupBy(*key).agg(F.count(F.lit(1)).alias("n_in"))

@@ -152,7 +152,14 @@ def lemma_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexis.lemma_counts(tables.counts(spark, sf_dir).withColumnRenamed("key", "lemma"), ["work_id"], "lemma")
 
 
-@query()
+_TILES = "[\\s\\x{FEFF}]+|[A-Za-zÀ-\u024f\u0300-\u036f]+[\u02bc\u2019\u1fbd\u1fbf'']?|[0-9]+|(?s:.)"
+
+
+@query(f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_TILES}')) AS s FROM documents),
+    k AS (SELECT doc_id, s, CASE WHEN regexp_matches(s, '^[\\s\\x{{FEFF}}]') THEN 'space' WHEN regexp_matches(s, '^[A-Za-zÀ-\u024f\u0300-\u036f]') THEN 'word' WHEN regexp_matches(s, '^[0-9]') THEN 'number'
+      WHEN regexp_matches(s, '^[\\p{{P}}\\p{{S}}]') THEN 'punct' ELSE 'other' END AS kind FROM t)
+    SELECT doc_id, count(*) FILTER (kind = 'word') AS word, count(*) FILTER (kind = 'number') AS number, count(*) FILTER (kind = 'space') AS space, count(*) FILTER (kind = 'punct') AS punct,
+      count(*) FILTER (kind = 'other') AS other, sum(length(s))::BIGINT AS chars FROM k GROUP BY doc_id""")
 def lossless_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token kinds of each document; the tokens tile its text."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.lit("it").alias("lang"))
@@ -167,7 +174,10 @@ def sentence_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("work_id").agg(F.count(F.lit(1)).alias("sentences"), F.max(F.length("s")).alias("longest"))
 
 
-@query()
+_PROSE = ["perfect participle middle/passive, nominative singular neuter", "genitive plural feminine", "present indicative active 3rd person singular", "adverb"]
+
+
+@query(f"SELECT c_custkey, {_PROSE}[(c_custkey % 4 + 1)::INT] AS prose, 'lógos' AS word FROM customer")
 def morphology_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every combination of a small tag set by customer segment, described; Greek letters romanised beside it."""
     tags = F.element_at(F.array(F.lit("verb ptcp perf mp nom sg n"), F.lit("noun gen pl f"), F.lit("verb ind pres act 3 sg"), F.lit("adv")), (F.col("c_custkey") % 4 + 1).cast("int"))

@@ -164,8 +164,8 @@ def title_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library.title_summary(table(spark, sf_dir, "documents"), "source", "lang", "doc_id")
 
 
-@query(f"""WITH {sql.EVIDENCE}, t AS (SELECT user_id, k, count(*) AS n, max(t) AS l FROM ev WHERE type = 'click' GROUP BY user_id, k)
-    SELECT user_id, k, l AS added FROM t WHERE n % 2 = 1""")
+@query(f"""WITH {sql.EVIDENCE}, t AS (SELECT user_id, k, count(*) AS n, max((t, event_id)) AS l FROM ev WHERE type = 'click' GROUP BY user_id, k)
+    SELECT user_id, k, l[1] AS added, row_number() OVER (PARTITION BY user_id ORDER BY l DESC, k)::INT AS place FROM t WHERE n % 2 = 1""")
 def bookmark_toggle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return library.toggled(tables.evidence(spark, sf_dir).where("type = 'click'"), "user_id", "k", ["at", "event_id"])
 
@@ -194,7 +194,7 @@ def citation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("o_orderkey", citation(F.lit("I"), F.col("o_orderkey") % 300, a).alias("citation"), kind_label(ids).alias("kind"), stage_for_pool(F.col("o_custkey")).alias("stage"))
 
 
-@query()
+@query(f"SELECT p_partkey, CASE WHEN n <= 0 THEN n::VARCHAR ELSE {sql.roman('n')} END AS roman FROM (SELECT p_partkey, p_partkey % 4000 - 5 AS n FROM part)")
 def roman_numerals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", roman(F.col("p_partkey") % 4000 - 5).alias("roman"))
 

@@ -16,6 +16,14 @@ def sentences(x: str) -> str:
     return f"regexp_split_to_array(regexp_replace({x}, '([.;·!?])\\s+', '\\1' || chr(10), 'g'), '\\n+')"
 
 
+def roman(n: str) -> str:
+    """Roman numeral of a positive number."""
+    ones, tens = (["", *"I II III IV V VI VII VIII IX".split()], ["", *"X XX XXX XL L LX LXX LXXX XC".split()])
+    hundreds = ["", *"C CC CCC CD D DC DCC DCCC CM".split()]
+    at = lambda words, unit: f"{words}[(({n}) // {unit}) % 10 + 1]"
+    return f"(repeat('M', (({n}) // 1000)::INT) || {at(hundreds, 100)} || {at(tens, 10)} || {at(ones, 1)})"
+
+
 WORKS = "works AS (SELECT doc_id AS work_id, source AS author, lang, CASE WHEN source <> 'src0' THEN source END AS translator FROM documents)"
 PASSAGES = """passages AS (SELECT * FROM (SELECT doc_id AS work_id, source AS author, lang, unnest(range(len(string_split(text, chr(10)))))::INT AS pos,
     unnest(string_split(text, chr(10))) AS text FROM documents) WHERE text <> '')"""
