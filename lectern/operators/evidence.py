@@ -12,6 +12,8 @@ WINDOW_STOPS, MIN_WINDOW, MIN_STOPS, MIN_SIGNALS = 30, 5, 10, 3
 LOOKUPS, RESCUES, REPORTED, REPORTS = 4.0, 5.0, 0.8, 3
 RETENTION_DAYS, RETAINED, RETENTION_LEMMAS = 7, 0.85, 30
 DECODE_WINDOW, DECODE_RIGHT = 10, 8
+#: Milliseconds that a page must be open to count as read.
+DWELL_MS = 5000
 AUTO_KNOWN = 6
 STATUS_RANK = {"new": 0, "seen": 1, "recognizing": 2, "known": 3, "mastered": 4, "ignored": 5}
 
@@ -116,6 +118,13 @@ def hint_streak(answers: DataFrame) -> DataFrame:
     return out.withColumn("hint", F.col("streak") < 3)
 
 
+def dwelled(events: DataFrame, dwell_ms: int = DWELL_MS) -> DataFrame:
+    """Openings (user_id, at, event_id, ...) that a reader stayed with for ``dwell_ms`` before the next; a last one counts."""
+    nxt = F.lead("at").over(Window.partitionBy("user_id").orderBy("at", "event_id"))
+    stayed = nxt.isNull() | (F.unix_micros(nxt.cast("timestamp")) - F.unix_micros(F.col("at").cast("timestamp")) >= dwell_ms * 1000)
+    return events.withColumn("__stayed", stayed).where("__stayed").drop("__stayed")
+
+
 def last_answers(answers: DataFrame, n: int = DECODE_WINDOW) -> DataFrame:
     """(user_id, answers, good): the last n answers, and those right without the hint."""
     last = last_window(answers, n)

@@ -209,6 +209,14 @@ def status_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.upsert_status(current, e.where("type = 'click'").select("user_id", "k", "status"))
 
 
+@query(f"""WITH {E}, o AS (SELECT user_id, event_id, t, lead(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS nxt FROM ev WHERE type = 'view')
+    SELECT user_id, event_id FROM o WHERE nxt IS NULL OR nxt - t >= INTERVAL 3 HOUR""")
+def dwelled_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views that nothing follows within three hours; events here are far apart."""
+    views = evidence(spark, sf_dir).where("type = 'view'")
+    return ev.dwelled(views, 3 * 3_600_000).select("user_id", "event_id")
+
+
 def triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = evidence(spark, sf_dir).where(F.col("type").isin("view", "click"))
     return e.select("user_id", "k", "at", "event_id", F.when(F.col("type") == "click", "lookup").otherwise("encounter").alias("trigger"), F.floor("value").cast("int").alias("division"))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from lectern.operators.evidence import fold_status
+from lectern.operators.evidence import dwelled, fold_status
 from lectern.sources import corpus
 from lectern.streaming import evidence as stream
 
@@ -87,6 +87,16 @@ def test_streams_equal_batch(spark, tmp_path):
     want = {(r.user_id, r.k): (r.status, r.encounters, r.lookups) for r in fold_status(batch, 2).collect()}
     assert {k: v[1:] for k, v in latest.items()} == {k: v[1:] for k, v in want.items()}
     assert {k: v[0] for k, v in latest.items()} == {k: v[0] for k, v in want.items()}
+    met = batch.where("trigger = 'encounter'").groupBy("user_id", "k").agg(F.countDistinct(F.to_date("at")).alias("days"))
+    looked = batch.where("trigger = 'lookup'").groupBy("user_id", "k").agg(F.max("at").alias("at"))
+    last = {(r.user_id, r.k): r for r in run(stream.statuses(events(), 0, "30 days"), "update")}
+    assert {k: r.days for k, r in last.items() if r.days} == {(r.user_id, r.k): r.days for r in met.collect()}
+    assert {k: r.last_lookup for k, r in last.items() if r.last_lookup} == {(r.user_id, r.k): r["at"] for r in looked.collect()}
+    for hours in (16, 21):
+        opened = {r.event_id for r in dwelled(batch.where("trigger = 'encounter'"), hours * 3_600_000).collect()}
+        ends = {r.event_id for r in batch.where("trigger = 'encounter'").groupBy("user_id").agg(F.max("event_id").alias("event_id")).collect()}
+        got = [r.event_id for r in run(stream.reads(events(), hours * 3_600_000, "1 day"), "append")]
+        assert len(got) == len(set(got)) and opened - ends <= set(got) <= opened
     distinct = batch.where("trigger = 'encounter'").select("user_id", "k", "division", F.to_date("at")).distinct().count()
     assert len(run(stream.encounters(events(), "30 days"), "append")) == distinct
 
