@@ -10,7 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values of the romanisation.
-LETTERS = dict(zip("αβγδεζηθικλμνξοπρσςτυφχψωϝϛϙϡ", "a b g d e z ē th i k l m n x o p r s s t y ph ch ps ō w st q ss".split(), strict=True))
+LETTERS = {
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "ē", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n", "ξ": "x", "ο": "o", "π": "p",
+    "ρ": "r", "σ": "s", "ς": "s", "τ": "t", "υ": "y", "φ": "ph", "χ": "ch", "ψ": "ps", "ω": "ō", "ϝ": "w", "ϛ": "st", "ϙ": "q", "ϡ": "ss",
+}
 ROUGH, SMOOTH, ACUTE, GRAVE, CIRCUMFLEX, IOTA, DIAERESIS = "\u0314", "\u0313", "\u0301", "\u0300", "\u0342", "\u0345", "\u0308"
 _M = "[\u0300-\u036f]*"
 #: One sound: a diphthong (its second letter without diaeresis), double rho, gamma before a velar, any letter with its marks.

@@ -8,8 +8,11 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters of other scripts that scans put for Latin ones.
-HOMOGLYPHS = ("АВЕКМНОРСТХаеорсухіΑΒΕΖΗΙΚΜΝΟΡΤΥΧοι", "ABEKMHOPCTXaeopcyxiABEZHIKMNOPTYXoi")
+# Letters of other scripts that scans put for Latin ones.
+HOMOGLYPHS = {
+    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i",
+    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ι": "i", "Μ": "M",
+}
 SYMBOLS = r"[■□▪●◆★†‡¤§¶|~^_<>{}\\]"
 #: Latin ordinals by number, as prefaces count articles.
 ORDINALS = {
@@ -23,7 +26,7 @@ REACH = 900
 
 
 def homoglyphs(c: Column) -> Column:
-    return F.translate(c, *HOMOGLYPHS)
+    return F.translate(c, "".join(HOMOGLYPHS), "".join(HOMOGLYPHS.values()))
 
 
 def repair(c: Column) -> Column:
