@@ -101,6 +101,28 @@ def records(cells: DataFrame, least: int = 3) -> DataFrame:
     return j.select("row", F.map_from_entries(pairs).alias("record"))
 
 
+def write_ladder(rungs: DataFrame, path: str) -> None:
+    """A course by language; a rebuilt language replaces its own partition only."""
+    merge_languages(rungs.sparkSession, rungs, path)
+
+
+def read_ladder(spark: SparkSession, path: str, lang: str) -> DataFrame:
+    """One language's units in order; the partition is pruned."""
+    return spark.read.parquet(path).where(F.col("lang") == lang).orderBy("pos")
+
+
+def read_dictionary(spark: SparkSession, path: str, tag: str = "entryFree") -> DataFrame:
+    """(headword, entry, main, senses) of a TEI dictionary, one entry a row; an entry without a key is left out."""
+    schema = "_id string, _key string, _type string, sense array<struct<_VALUE:string>>"
+    rows = read_xml_rows(spark, path, tag, schema).where("_key is not null")
+    return rows.select(F.col("_key").alias("headword"), F.col("_id").alias("entry"), F.coalesce(F.col("_type") == "main", F.lit(False)).alias("main"), F.transform("sense", lambda s: F.trim(s["_VALUE"])).alias("senses"))
+
+
+def headwords(entries: DataFrame) -> DataFrame:
+    """(headword, entry): one entry a headword, a main one before others, then the first by id."""
+    return entries.groupBy("headword").agg(F.min_by("entry", F.struct(~F.col("main"), "entry")).alias("entry"))
+
+
 def read_xml_rows(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
     """Row-shaped XML, one element ``tag`` a row."""
     return spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)

@@ -1,7 +1,9 @@
 from pyspark.sql import functions as F
 
+from lectern import catalog
 from lectern.functions import drills, headings, labels, tags
-from lectern.operators import lexicon, library, quality
+from lectern.operators import course, lexicon, library, quality
+from lectern.sources import corpus
 
 
 def one(spark, rows, schema, *columns):
@@ -81,6 +83,34 @@ def test_accounting_and_order(spark):
     assert {r.g: r.contiguous for r in quality.contiguous(rows, "g", "n").collect()} == {"a": True, "b": True}
 
 
+def test_dictionary_files(spark, tmp_path):
+    (tmp_path / "d.xml").write_text("<TEI><entryFree id='n1' key='amo' type='hapax'><sense>love</sense><sense> like </sense></entryFree><entryFree id='n2' key='amo' type='main'><sense>x</sense></entryFree><entryFree id='n3'/></TEI>")
+    e = corpus.read_dictionary(spark, str(tmp_path / "d.xml"))
+    assert sorted((r.headword, r.entry, r.main, tuple(r.senses)) for r in e.collect()) == [("amo", "n1", False, ("love", "like")), ("amo", "n2", True, ("x",))]
+    assert [tuple(r) for r in corpus.headwords(e).collect()] == [("amo", "n2")]
+
+
+def test_ladder(spark, sf, tmp_path):
+    """Every unit once, sections of a work in order, coverage and pool as the single operators have them; written and read again."""
+    rungs = catalog.queries()["ladder_build"](spark, sf)
+    corpus.write_ladder(rungs, str(tmp_path / "ladder"))
+    back = corpus.read_ladder(spark, str(tmp_path / "ladder"), "en")
+    got = back.collect()
+    assert [r.pos for r in got] == list(range(len(got))) and len({(r.work, r.unit) for r in got}) == len(got)
+    turns = {r.conv_id for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id").collect()}
+    assert {r.work for r in got} == turns
+    last = {}
+    for r in got:
+        assert r.section >= last.get(r.work, 0) and 0 <= r.cov3 <= r.cov1 <= 1
+        last[r.work] = r.section
+    pools = [r.pool for r in got]
+    assert pools == sorted(pools) and pools[0] >= 30
+    found = course.check_ladder(back).collect()
+    assert {r.check for r in found} <= {"cliff"} and {r.level for r in found} <= {"warn", "error"}
+    worse = spark.createDataFrame([("en", 0, 9, 0.9), ("en", 1, 8, 0.9), ("en", 2, 9, 0.9), ("en", 3, 9, 0.5)], "lang string, pos int, pool int, cov3 double")
+    assert sorted((r.level, r.check, r.message) for r in course.check_ladder(worse).collect()) == [("error", "cliff", "en 3"), ("error", "pool", "en 1")]
+
+
 def test_orders(spark):
     a = spark.createDataFrame([("Plato", -427), ("Anon", None), ("Homer", -750), ("Zeno", -427)], "name string, year int")
     assert [r.name for r in library.by_year(a, "year", "name").collect()] == ["Homer", "Plato", "Zeno", "Anon"]
