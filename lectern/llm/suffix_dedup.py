@@ -2,8 +2,8 @@
 
 Of every run of LENGTH bytes (a window) the gram with the least hash is its anchor, so equal windows have equal anchors at
 equal places, and one byte in about 170 starts an anchor. Only the suffixes at anchors are sorted. An anchor's context
-spans the windows it stands for. Contexts that occur twice as they are are found by aggregation of their hashes; contexts
-that share an anchor's gram and differ are brought together, where suffixes are ordered deep-shallow: a multikey quicksort
+spans the windows it stands for. Contexts that occur twice as they are are found by aggregation (of the gram's hash and the
+context's, 128 bits), and one stands for all; contexts that share an anchor's gram and differ are brought together, where suffixes are ordered deep-shallow: a multikey quicksort
 on words of eight bytes to a shallow depth, the gram's, and a blind trie for each group that is equal so far, once for
 what follows the anchor and once for what precedes it. Common prefixes to both sides give the repeated windows exactly.
 
@@ -21,14 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import documents, materialise, partitions, small
+from lectern.llm.common import BROADCAST_ROWS, documents, materialise, partitions, small
 from lectern.shipping import map_arrow
 
 LENGTH, GRAM = 400, 64
 #: Bytes of a document that are hashed at once; positions in a piece take the low bits of the sort key.
 PIECE, LOW = 1 << 22, 23
-#: Contexts of a gram up to which pairs are compared directly.
-PAIRS = 16
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -84,8 +82,8 @@ def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> list[np.ndar
 
 def _anchored(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     ints = pa.list_(pa.int64())
-    names = ["rid", "doc_id", "k", "n_bytes", "sha", "gram", "whole", "place", "first", "last", "own_start", "own_end"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *[ints] * 7]
+    names = ["rid", "doc_id", "k", "gram", "whole", "place", "first", "last", "own_start", "own_end"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), *[ints] * 7]
 
     def batch(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
@@ -107,7 +105,7 @@ def _anchored(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iter
                     own += [(a, z + length), (int(lo[other]), int(hi[other]) + length)]
             keep = np.array(keep, np.int64)
             own = merged(own)
-            rows.append((rid, doc_id, k, len(data), hashlib.sha256(data).hexdigest(), h[keep], whole[keep], place[keep], lo[keep], hi[keep], [s for s, _ in own], [e for _, e in own]))
+            rows.append((rid, doc_id, k, h[keep], whole[keep], place[keep], lo[keep], hi[keep], [s for s, _ in own], [e for _, e in own]))
             held += len(h)
             if held > 200_000:
                 yield batch(rows)
@@ -237,39 +235,33 @@ def repeated(before: list[bytes], after: list[bytes], length: int) -> list[tuple
     """
     n = len(after)
     left, right = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
-    if n <= PAIRS:
-        for i in range(n):
-            for j in range(i):
-                b = min(length, common(after[i], after[j]))
-                if b >= length - min(len(before[i]), len(before[j])):
-                    a = common(before[i], before[j])
-                    if a + b >= length:
-                        for k in (i, j):
-                            left[k], right[k] = max(left[k], a), max(right[k], b)
-    else:
-        groups = []
-        for strings in (before, after):
-            rows, lcp = BlindTrie(strings).order()
-            groups.append((np.array(rows), np.array(lcp)))
-
-        def classes(side: int, depth: int) -> np.ndarray:
-            rows, lcp = groups[side]
-            out = np.empty(n, np.int64)
-            out[rows] = np.cumsum(lcp < depth)
-            return out
-
-        def again(a: int) -> np.ndarray:
-            """Which have a window that starts ``a`` bytes before the anchor and occurs twice."""
-            _, at, count = np.unique(classes(0, a) * (n + 1) + classes(1, length - a), return_inverse=True, return_counts=True)
-            return count[at] > 1
-
-        for a in sorted(set(groups[0][1].tolist()) | {0}, reverse=True):  # the furthest starts end where left parts do
-            if a <= length:
-                hit = again(a) & (left < 0)
-                left[hit] = a
-        for b in sorted({min(length, x) for x in groups[1][1].tolist()}, reverse=True):
-            hit = again(length - b) & (right < 0)
-            right[hit] = b
+    groups = []
+    for strings in (before, after):
+        rows, lcp = BlindTrie(strings).order()
+        groups.append((rows, lcp))
+    if n == 2:
+        a, b = groups[0][1][1], min(length, groups[1][1][1])
+        return [(a, b)] * 2 if a + b >= length else [None] * 2
+    groups = [(np.array(rows), np.array(lcp)) for rows, lcp in groups]
+
+    def classes(side: int, depth: int) -> np.ndarray:
+        rows, lcp = groups[side]
+        out = np.empty(n, np.int64)
+        out[rows] = np.cumsum(lcp < depth)
+        return out
+
+    def again(a: int) -> np.ndarray:
+        """Which have a window that starts ``a`` bytes before the anchor and occurs twice."""
+        _, at, count = np.unique(classes(0, a) * (n + 1) + classes(1, length - a), return_inverse=True, return_counts=True)
+        return count[at] > 1
+
+    for a in sorted(set(groups[0][1].tolist()) | {0}, reverse=True):  # the furthest starts end where left parts do
+        if a <= length:
+            hit = again(a) & (left < 0)
+            left[hit] = a
+    for b in sorted({min(length, x) for x in groups[1][1].tolist()}, reverse=True):
+        hit = again(length - b) & (right < 0)
+        right[hit] = b
     return [(int(a), int(b)) if a >= 0 and b >= 0 else None for a, b in zip(left, right, strict=True)]
 
 
@@ -308,38 +300,41 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch], length: int, gram: int) ->
     yield batch()
 
 
-def _removed(batches: Iterator[pa.RecordBatch], full: bool) -> Iterator[pa.RecordBatch]:
+def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sha, removed, count, texts = [], [], [], []
-        for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
-            data = text.encode("utf-8", "replace")
-            spans = merged((s["start"], s["stop"]) for s in spans)
-            at, parts = 0, []
-            for s, e in spans:
-                parts.append(data[at:s])
-                at = e
-            rest = b"".join([*parts, data[at:]])
-            sha.append(hashlib.sha256(rest).hexdigest())
-            removed.append(sum(e - s for s, e in spans))
-            count.append(len(spans))
-            texts.append(rest if full else None)
-        cols = [b.column("rid"), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array(texts, pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, ["rid", "removed", "spans", "kept", "rest"])
+        for k in range(0, b.num_rows, 1000):
+            some, rows = b.slice(k, 1000), []
+            for doc_id, text, found in zip(*(some.column(c).to_pylist() for c in ("doc_id", "text", "spans")), strict=True):
+                data = text.encode("utf-8", "replace")
+                spans = merged((s["start"], s["stop"]) for s in found or ())
+                at, parts = 0, []
+                for s, e in spans:
+                    parts.append(data[at:s])
+                    at = e
+                rest = b"".join([*parts, data[at:]]) if spans else data
+                rows.append((doc_id, len(data), len(data) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "replace"), rest))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _REMOVED.types, strict=True)], schema=_REMOVED)
+
+
+_REMOVED = pa.schema([
+    ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string()), ("kept_bytes", pa.binary()),
+])
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_bytes: bool = False) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_bytes, null where nothing went).
+    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, text: what is left (and kept_bytes).
 
     Each byte covered by a ``length``-byte string that also starts anywhere else is removed, all occurrences of it,
     judged on the input. A null text is an empty one; texts under ``length`` bytes lose nothing; of repeated rows each is
-    an occurrence of its own. What is left may break a character: it is bytes. An empty table gives an empty result.
+    an occurrence of its own. What is left may break a character: ``text`` has U+FFFD there, kept_sha256 and kept_bytes are
+    of the bytes. Whole texts are used, however long; other columns are ignored. An empty table gives an empty result.
     """
     if not 8 <= gram <= length or gram % 8:
         raise ValueError("gram is a multiple of 8 up to length")
     spark = docs.sparkSession
     rows = documents(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     rows = rows.withColumn("k", F.xxhash64("text"))
-    kinds = "rid long, doc_id long, k long, n_bytes long, sha string, gram array<long>, whole array<long>, place array<long>, first array<long>, last array<long>, own_start array<long>, own_end array<long>"
+    kinds = "rid long, doc_id long, k long, gram array<long>, whole array<long>, place array<long>, first array<long>, last array<long>, own_start array<long>, own_end array<long>"
     table = materialise(
         map_arrow(rows.withColumn("rid", F.monotonically_increasing_id()), lambda it: _anchored(it, length, gram), kinds), "anchors"
     )
@@ -369,11 +364,11 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_b
     alone = map_arrow(found, lambda it: _sorted_groups(it, length, gram), "rid long, start long, stop long")
     own = table.where(F.size("own_start") > 0).select("rid", F.explode(F.arrays_zip("own_start", "own_end")).alias("o")).select("rid", F.col("o.own_start").alias("start"), F.col("o.own_end").alias("stop"))
     spans = spans.unionByName(alone).unionByName(own).groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    spans = materialise(spans.join(table.select("rid", F.col("doc_id").alias("d"), F.col("k").alias("j")), "rid"), "spans")
-    cut = map_arrow(with_text(spans).select("rid", "text", "spans"), lambda it: _removed(it, with_bytes), "rid long, removed long, spans long, kept string, rest binary")
-    out = table.select("rid", "doc_id", "n_bytes", "sha").join(cut, "rid", "left")
-    more = [F.col("rest").alias("kept_bytes")] if with_bytes else []
-    return out.select(
-        "doc_id", "n_bytes", F.coalesce("removed", F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"), *more,
-    )
+    spans = spans.join(table.select("rid", F.col("doc_id").alias("d"), F.col("k").alias("j")), "rid").drop("rid")
+    spans = materialise(spans.dropDuplicates(["d", "j"]), "spans")  # rows of one id and text lose the same
+    if (spans.agg(F.sum(F.size("spans"))).first()[0] or 0) <= BROADCAST_ROWS:
+        spans = F.broadcast(spans)
+    whole = rows.join(spans, rows["doc_id"].eqNullSafe(F.col("d")) & (rows["k"] == F.col("j")), "left").select("doc_id", "text", "spans")
+    kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, kept_bytes binary"
+    out = map_arrow(whole, _removed, kinds)
+    return out if with_bytes else out.drop("kept_bytes")
