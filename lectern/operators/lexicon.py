@@ -189,6 +189,12 @@ def shard_stem(prefix: Column) -> Column:
     return F.when(F.lower(prefix).isin(*RESERVED), F.concat(prefix, F.lit("_"))).otherwise(prefix)
 
 
+def shard_prefix(stem: Column) -> Column:
+    """The prefix whose shard has this stem: the inverse of ``shard_stem``."""
+    bare = F.substring(stem, F.lit(1), F.length(stem) - 1)
+    return F.when(F.endswith(stem, F.lit("_")) & F.lower(bare).isin(*RESERVED), bare).otherwise(stem)
+
+
 def encode(forms: DataFrame) -> DataFrame:
     """(work, lexemes, morphs, codes): a bundle of (work, pos, rank, key, lexeme, morph, conf) interned.
 

@@ -111,6 +111,13 @@ def test_ladder(spark, sf, tmp_path):
     assert sorted((r.level, r.check, r.message) for r in course.check_ladder(worse).collect()) == [("error", "cliff", "en 3"), ("error", "pool", "en 1")]
 
 
+def test_shard_names(spark):
+    names = ["aux", "con", "ab", "_", "lpt1", "zz"]
+    stem = lexicon.shard_stem(F.col("s"))
+    got = one(spark, [(x,) for x in names], "s string", stem, lexicon.shard_prefix(stem))
+    assert [g[1] for g in got] == names and got[0][0] != "aux" and got[2][0] == "ab"
+
+
 def test_orders(spark):
     a = spark.createDataFrame([("Plato", -427), ("Anon", None), ("Homer", -750), ("Zeno", -427)], "name string, year int")
     assert [r.name for r in library.by_year(a, "year", "name").collect()] == ["Homer", "Plato", "Zeno", "Anon"]
