@@ -106,6 +106,90 @@ def test_html_all_visible(html, lines):
     assert html_text.extract(html)[1].split("\n") == lines
 
 
+@pytest.mark.parametrize(("html", "lines"), [
+    ("a<![foo bar>b", ["ab"]), ("<![foo bar", [""]), ("a<!-- open <p>b", ["a"]), ("a<!-->b<!--->c", ["abc"]), ("1 < 2", ["1 < 2"]),
+    ("<table><tr><td colspan=%s>x<td>y</table>" % ("9" * 5000), ["x  y"]), ("<ol start=%s><li>x</ol>" % ("9" * 5000), ["1000000000. x"]),
+    ("<table><tr><td rowspan=2>aa<td>b<tr><td>c</table>", ["aa  b", "    c"]),
+    ("<table><tr><td>x<td>yyyy<td>z<tr><td colspan=2>spanning text<td>q</table>", ["x  yyyy        z", "spanning text  q"]),
+    ("<table><tfoot><tr><td>f</tfoot><tbody><tr><td>b<thead><tr><td>h</table>", ["h", "b", "f"]),
+    ("<details><summary>S</summary>body</details><details open><summary>T</summary>body</details>", ["S", "T", "body"]),
+    ("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b></div>", ["yes"]),
+    ("<ul><li><pre>a\n\nb</pre><li>c</ul>", ["- a", "", "  b", "- c"]),
+    ("<style>.h, #i{display:none} @media print{.k{display:none}} p.v{visibility:hidden}</style><p class=h>no<p id=i>no<p class='k v'>no<p class=k>yes", ["yes"]),
+    ("<style>.h{display:none} .h.s{display:block}</style><p class='h s'>yes<p class=h style='display:block'>too", ["yes", "", "too"]),
+    ("<textarea><b>x</textarea><script>'</p>'</script>", ["<b>x"]), ("<svg><text><![CDATA[a <b>]]></text></svg>", ["a <b>"]),
+    ("<b>" * 3000 + "deep" + "<div>" * 2000 + "er", ["deep", "er"]),
+])
+def test_html_rules(html, lines):
+    assert html_text.extract(html)[1].split("\n") == lines
+
+
+PIECES = "< > ! [ -- \" ' / = & &# </ <!-- --> <![ <![CDATA[ ]]> <td <tr> <table> <svg> <math> <li> <pre> <title> <style> <select><option> <details> { } @media . # \0 é".split(" ")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from([*PIECES, "colspan=", "rowspan=9", "style=display:none", "9" * 30, "a", " ", "\n"]), st.text(max_size=5)), max_size=40))
+def test_html_never_fails(parts):
+    title, text = html_text.extract("".join(parts))
+    assert isinstance(title, str) and "\r" not in title and not text.startswith("\n")
+
+
+BLOCKS, INLINE, GONE = ("div", "p", "h2", "section", "blockquote", "ul", "ol"), ("b", "span", "a"), ("script", "style", "template", "noscript")
+
+
+@st.composite
+def pages(draw, depth=0):
+    """(markup, the words that show) of a tree that is built without the renderer."""
+    out, words = [], []
+    for _ in range(draw(st.integers(0, 4))):
+        kind = draw(st.integers(0, 6 if depth < 4 else 1))
+        if kind < 2:
+            w = draw(st.lists(st.sampled_from(["one", "two", "x&amp;y", "é"]), min_size=1, max_size=3))
+            out.append(" " + " ".join(w) + " ")
+            words += [x.replace("&amp;", "&") for x in w]
+            continue
+        inner, shown = draw(pages(depth=depth + 1))
+        tag = draw(st.sampled_from(BLOCKS if kind < 5 else INLINE))
+        how = draw(st.sampled_from(["", "", "", " hidden", ' style="display:none"', " class=gone"]))
+        if kind == 6:
+            out.append(f"<table><tr><td>{inner}</table>" if depth < 2 else inner)
+            words += shown
+        elif tag in ("ul", "ol"):
+            out.append(f"<{tag}{how}><li>{inner}</{tag}>")
+            words += [] if how else [None, *shown]
+        elif tag == "p":
+            out.append(f"<div{how}>{inner}</div>")
+            words += [] if how else shown
+        else:
+            out.append(f"<{tag}{how}>{inner}</{tag}>")
+            words += [] if how else shown
+    if draw(st.booleans()):
+        tag = draw(st.sampled_from(GONE))
+        out.append(f"<{tag}>no</{tag}>")
+    return "".join(out), words
+
+
+@settings(max_examples=200, deadline=None)
+@given(pages())
+def test_html_words_of_trees(page):
+    """All words that show, in order, and no others; marks of lists aside."""
+    markup, words = page
+    text = html_text.extract("<style>.gone{display:none}</style>" + markup)[1]
+    got = [w for w in text.split() if not re.fullmatch(r"-|\d+\.", w)]
+    want = [w for w in words if w]
+    if "<table>" in markup:  # cells of several lines stand side by side
+        assert collections.Counter(got) == collections.Counter(want)
+    else:
+        assert got == want
+
+
+def test_html_long():
+    text = html_text.extract("<p>" + "word " * 400_000 + "<table>" + "<tr><td>a<td>b" * 20_000)[1]
+    assert len(text.split()) == 440_000
+    for bad in ("<a b=\"" * 100_000, "<b>" * 100_000 + "</p>" * 1000, "<style>" + "@a{" * 20_000, "<!--" * 100_000, "&" * 300_000):
+        html_text.extract(bad)
+
+
 def test_html_table(spark):
     data = [(1, "u", PAGE, "t", "x"), (None, None, None, "t", "x"), (1, "u", PAGE, "t", "x"), (4, "u", "", "t", "x")]
     pages = spark.createDataFrame(data, "page_id long, url string, html string, title string, text string")
