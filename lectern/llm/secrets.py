@@ -5,7 +5,8 @@ the corpus by distinct owners (sources) and repositories (documents). A value is
 texts that differ, or if it is widely copied, in EXAMPLE_REPOS documents or more of any owners; else it looks live. So a copy of
 a whole document at another owner makes no example of what it holds. A token that no base span overlaps is added as a span of
 kind "owned" if it looks live. Counting goes by (value, owner) first, so a value that a third of the documents hold is summed
-where it is read.
+where it is read; only the examples' hashes go back to the documents, by broadcast where they are few, else in a join whose
+hot values AQE splits.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import documents, materialise
+from lectern.llm.common import documents, materialise, small
 from lectern.shipping import map_arrow
 
 #: Fixed values of the base patterns.
@@ -54,15 +55,13 @@ def bits(s: str) -> float:
 
 
 def token_spans(text: str, base: list) -> list[tuple[int, int, int, str]]:
-    """Random-looking tokens that no base span overlaps."""
-    out, k = [], 0
-    by_end = sorted((b[2], b[1]) for b in base)
+    """Random-looking tokens that no base span overlaps; base spans come by start."""
+    out, k, reach = [], 0, 0
     for m in _token.finditer(text):
-        while k < len(by_end) and by_end[k][0] <= m.start():
+        while k < len(base) and base[k][1] < m.end():
+            reach = max(reach, base[k][2])
             k += 1
-        if any(s < m.end() for _, s in by_end[k:]):
-            continue
-        if _digit.search(m[0]) and _letter.search(m[0]) and bits(m[0]) >= TOKEN_BITS:
+        if reach <= m.start() and _digit.search(m[0]) and _letter.search(m[0]) and bits(m[0]) >= TOKEN_BITS:
             out.append((3, m.start(), m.end(), m[0]))
     return out
 
@@ -91,7 +90,8 @@ def scan_secrets(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_
     ``spans`` is kind:start:end by start, then kind, comma-joined. A null text is an empty one and has no span; a null
     source is an owner of its own, other than an empty one; repeated rows are repositories of their own. n_example counts a
     document's spans whose value ``example_owners`` owners have in texts that differ, or ``example_repos`` documents, n_live
-    the others. An empty table gives an empty result.
+    the others. Whole texts are scanned, in time linear in their length; other columns are ignored. An empty table gives an
+    empty result.
     """
     rows = documents(docs, "doc_id", "source", "text").withColumn("rid", F.monotonically_increasing_id())
     scanned = materialise(
@@ -101,8 +101,8 @@ def scan_secrets(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_
     each = each.select("rid", "owner", "f.*")
     by_owner = each.groupBy("value", "owner").agg(F.count_if("first").alias("repos"), F.min("around").alias("low"), F.max("around").alias("high"))
     several = (F.count(F.lit(1)) >= example_owners) & (F.min("low") != F.max("high"))
-    values = by_owner.groupBy("value").agg((several | (F.sum("repos") >= example_repos)).alias("example"))
-    known = each.join(values, "value")
+    values = by_owner.groupBy("value").agg((several | (F.sum("repos") >= example_repos)).alias("example")).where("example")
+    known = each.join(small(materialise(values, "examples")), "value", "left").withColumn("example", F.col("example").isNotNull())
     added = (F.col("kind") < 3) | ~F.col("example")
     said = F.array_sort(F.collect_list(F.when(added, F.struct("start", "kind", "end"))))
     names = F.array(*map(F.lit, KINDS))

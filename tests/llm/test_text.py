@@ -215,6 +215,83 @@ def test_secrets(spark):
     assert secrets.scan_secrets(frame(spark, [])).count() == 0 and secrets.scan_secrets(frame(spark)).count() == len(rows())
 
 
+def brute_base(text):
+    """Leftmost spans of each kind that don't overlap, found by trying each place."""
+    names, out = ("password", "passwd", "secret", "token", "apikey", "api_key"), []
+    run = lambda i, ok: next((j for j in range(i, len(text) + 1) if j == len(text) or text[j] not in ok), i)
+    value = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
+
+    def assign(i):
+        for name in names:
+            if text[i : i + len(name)].translate(html_text_lower) != name:
+                continue
+            for quote in ([1, 0] if text[i + len(name) : i + len(name) + 1] in ('"', "'") and i + len(name) < len(text) else [0]):
+                j = run(i + len(name) + quote, " ")
+                if text[j : j + 1] not in (":", "=") or j >= len(text):
+                    continue
+                j = run(j + 1, " ")
+                j += text[j : j + 1] in ('"', "'") and j < len(text)
+                if run(j, value) > j:
+                    return j, run(j, value)
+        return None
+
+    def plain(start, ok):
+        return lambda i: (i, run(i + len(start), ok)) if text.startswith(start, i) and run(i + len(start), ok) > i + len(start) else None
+
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    for kind, find, least in ((0, assign, 8), (1, plain("AKIA", upper), 16), (2, plain("", "0123456789abcdef"), 32)):
+        i = 0
+        while i < len(text):
+            hit = find(i)
+            if hit is None:
+                i += 1
+                continue
+            if hit[1] - hit[0] >= least:
+                out.append((kind, i, hit[1], text[hit[0] : hit[1]]))
+            i = hit[1]
+    return sorted(out, key=lambda x: (x[1], x[0]))
+
+
+html_text_lower = {c: c + 32 for c in range(65, 91)}
+PARTS = ["password", "PassWD", "secret", "Token", "api_key", "APIKEY", '"', "'", " ", ":", "=", "abcdefgh1", "AKIA", "QWERTY123456", "deadbeef" * 2, "0123456789abcdef", "x", "é", "\n", "-", "Zx81kQpL0vRt55mNbW2c"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(PARTS), max_size=25))
+def test_secrets_against_brute_force(parts):
+    text = "".join(parts)
+    base = secrets.base_spans(text)
+    assert base == brute_base(text)
+    free = [m for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text) if all(e <= m.start() or s >= m.end() for _, s, e, _ in base)]
+    want = [(3, m.start(), m.end(), m[0]) for m in free if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and secrets.bits(m[0]) >= 3.5]
+    assert secrets.token_spans(text, base) == want
+
+
+def test_secrets_ownership_against_brute_force(spark):
+    rng = random.Random(12)
+    values = [f"{x}x81kQpL0vRt55mNbW2{y}" for x in "ABCD" for y in "cde"]
+    found = [(k, " and ".join(rng.choices([*values[:6], f"{values[7]}{k}", "plain"], k=3)) + rng.choice(["", " end"]), None, rng.choice(["a", "b", "c", None])) for k in range(40)]
+    found += [(100 + k, found[k][1], None, "other") for k in range(5)]
+    owners, repos = collections.defaultdict(lambda: collections.defaultdict(set)), collections.Counter()
+    for _, t, _, owner in found:
+        for v in set(re.findall(r"[A-Za-z0-9]{20,}", t)):
+            owners[v][owner].add(t)
+            repos[v] += 1
+    example = {v: repos[v] >= 10 or (len(by) >= 2 and len(set().union(*by.values())) > 1) for v, by in owners.items()}
+    got = {r.doc_id: r for r in secrets.scan_secrets(frame(spark, found)).collect()}
+    for i, t, *_ in found:
+        every = [m for m in re.finditer(r"[A-Za-z0-9]{20,}", t)]
+        live = [m for m in every if not example[m[0]]]
+        assert got[i].spans == ",".join(f"owned:{m.start()}:{m.end()}" for m in live)
+        assert (got[i].n_live, got[i].n_example) == (len(live), len(every) - len(live))
+
+
+def test_secrets_long():
+    """Ten megabytes with 200,000 base spans and as many tokens, in time that grows with the length alone."""
+    text = "".join(f"token={k:08d}zz Zx81kQpL0vRt55mNbW2c{k:08d} " for k in range(200_000))
+    assert len(secrets.token_spans(text, secrets.base_spans(text))) == 200_000
+
+
 def test_secrets_repositories(spark):
     """Widely copied at one owner; a document copied once to another; used twice a document; null and empty sources."""
     wide, few, copied, odd = (f"{x}x81kQpL0vRt55mNbW2c" for x in "ABCD")
