@@ -6,7 +6,7 @@ stage's result is written before the next one reads it, so a lost executor never
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import decontaminate, language_id, mixing, near_dedup, token_output
@@ -27,7 +27,12 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without a language that makes up a third of them, go; lang becomes the prediction."""
+    """Documents without a letter, or without a language that makes up a third of them, go; lang becomes the prediction.
+
+    A null or empty text has no letter. Of languages with the same share the first by name counts. Rows with a null lang or
+    id are not learned from, and are predicted like others; a null source stays null. Repeated rows go or stay together.
+    Whole texts count. Columns other than those of documents are dropped. An empty table gives an empty one.
+    """
     docs = _columns(docs)
     model = language_id.fit(language_id.learners(docs))
     found = language_id.identify(docs, model, carry=COLUMNS)
@@ -36,7 +41,12 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked documents the one with the smallest id stays; rows with the same id and text stand or fall together."""
+    """Of linked documents the one with the smallest id stays; rows with the same id and text stand or fall together.
+
+    A null or empty text, or one without words, is linked with nothing and stays. A row with a null id stays only if it is
+    linked with no row that has one. Nulls in other columns don't matter, other columns are dropped. Whole texts count. An
+    empty table gives an empty one.
+    """
     docs = _columns(docs).withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
     gone = near_dedup.near_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"))
     gone = small(materialise(gone.distinct(), "near-gone"))
@@ -44,26 +54,32 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark passages are cut out; documents that are mostly benchmark go."""
+    """Benchmark passages are cut out, and n_chars counts what is left; documents that are mostly benchmark go.
+
+    A null text stays null with a null n_chars, an empty one empty. Repeated rows are cut alike. Items with a null id or
+    without words cut nothing. Whole texts count, other columns are dropped. An empty table gives an empty one, and an empty
+    benchmark cuts nothing.
+    """
     clean = decontaminate.remove(_columns(docs), read(spark, sf_dir, "benchmark"), most=HIT_SHARE)
     return clean.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
-    docs = _columns(docs).withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    taken = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("taken_id"), F.col("key").alias("taken_key"), "copies")
-    taken = materialise(taken, "taken")
-    nth = lambda a, b: F.row_number().over(Window.partitionBy(a, b).orderBy(a))  # noqa: E731  for rows with the same id and text
-    left = docs.withColumn("nth", nth("doc_id", "key"))
-    right = taken.withColumn("taken_nth", nth("taken_id", "taken_key"))
-    same = left["doc_id"].eqNullSafe(right["taken_id"]) & (left["key"] == right["taken_key"]) & (left["nth"] == right["taken_nth"])
-    both = left.join(right, same)
-    return both.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    """Each document as many times as the mix takes it: 0 to 3 times.
+
+    A null source is a source of its own, after the others. A null or empty text has size 0 and comes as often as its
+    source's whole copies. Rows that repeat id and text come equally often; ties in rank go by id, then text. Other columns
+    are dropped. An empty table gives an empty one.
+    """
+    return mixing.mixed(_columns(docs))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in binary shards; what they hold of each document, read back."""
+    """Token ids in binary shards; what they hold of each document, read back: doc_id, start, n_tokens, ids_crc32.
+
+    A null or empty text has the end id alone. Null ids come first; rows of one id come by a hash of their text, and each
+    copy is written. Whole texts are encoded, other columns are ignored. An empty table gives an empty one.
+    """
     folder = work_path(spark, "pipeline-tokens")
     shards = token_output.write_tokens(docs, tokenizer_path(), folder, end_id=0)
     return token_output.read_tokens(spark, folder, shards)

@@ -46,7 +46,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents")).drop("key")
+    return mixing.mix(read(spark, sf_dir, "documents"))
 
 
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -340,6 +340,34 @@ def test_mix(spark, weights):
     assert sorted(r.taken for r in mixing.mix(frame(spark, found), weights, slices=1024).collect()) == sorted(r.taken for r in got)
 
 
+def test_mix_inclusion(spark):
+    """Of two sizes the larger is taken as many times more often as the root of its size says; the largest are certain."""
+    found = [(k, " ".join(["w"] * (4 if k % 2 else 36)), None, "a") for k in range(4000)] + [(9000 + k, "w " * 90_000, None, "b") for k in range(2)]
+    found += [(10_000 + k, "w", None, "b") for k in range(3000)]
+    got = mixing.mix(frame(spark, found), (1.0, 1.0), most=3.0).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.source, r.size].append(r.copies)
+    share = {k: np.mean(v) - min(v) for k, v in by.items()}
+    whole = {s: min(c for (x, _), v in by.items() if x == s for c in v) for s in "ab"}
+    p = {k: np.mean(v) - whole[k[0]] for k, v in by.items()}
+    assert 0.02 < p["a", 4] < 0.5 and abs(p["a", 36] / p["a", 4] - 3) < 0.5
+    assert max(share.values()) < 1
+    scale = mixing.scales(spark.createDataFrame([("s", 100.0, 90, 1), ("s", 100.0, 2, 20)], "source string, rest double, size long, n long"), 1.0).first().scale
+    assert abs(90 + 20 * 2 * scale * 2 * 1024 - 100) < 1e-6  # the one of 90 is certain
+
+
+def test_mixed_rows(spark):
+    docs = frame(spark, rows(n=150))
+    want = {(r.doc_id, r.source, r.size): r.copies for r in mixing.mix(docs).collect()}
+    got = mixing.mixed(docs)
+    assert got.columns == docs.columns
+    count = collections.Counter((r.doc_id, r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in got.collect())
+    times = collections.Counter((r[0], r[3], len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or ""))) for r in rows(n=150))
+    assert count == collections.Counter({k: n * times[k] for k, n in want.items() if n})
+    assert mixing.mixed(frame(spark, [])).count() == 0
+
+
 def test_mix_empty(spark):
     assert mixing.mix(frame(spark, [])).count() == 0
     assert [r.taken for r in mixing.mix(frame(spark, [(1, None, None, None), (2, " ", None, "a")])).collect()] == [0, 0]
