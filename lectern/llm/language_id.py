@@ -22,7 +22,9 @@ from lectern.shipping import map_arrow
 SLOTS = 1 << 15
 #: Documents a language that the model is fitted on, about: all if there are fewer, else those of the smallest text hashes.
 FIT_DOCS = 3000
-STEPS, WORDS_AT_ONCE, MEMO = 8, 300_000, 300_000
+WORDS_AT_ONCE, MEMO = 300_000, 300_000
+#: A proportion that a step moves by less stands still; steps of a document whose likelihood is flat.
+STILL, STEPS = 1e-4, 1000
 #: A word is known if its mean log-likelihood a trigram in some language is above this point between the mean of the
 #: language's own text, as learned, (0) and that of slots drawn at random (1).
 FLOOR = 0.5
@@ -81,14 +83,25 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> tuple[list[str], np.ndarra
     return langs, np.log(n / n.sum(1, keepdims=True)).astype(np.float32)
 
 
-def mixture(like: np.ndarray, begins: np.ndarray, n: np.ndarray, on: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions and log-likelihood of each document; like: words x languages, on: documents x languages allowed."""
+def mixture(like: np.ndarray, begins: np.ndarray, n: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions and log-likelihood of each document; like: words x languages, on: documents x languages allowed.
+
+    Steps go on until no proportion of a document moves by more than STILL; documents that stand still are set aside.
+    """
     doc = np.repeat(np.arange(len(n)), n)
     p = on / on.sum(1, keepdims=True)
-    for _ in range(steps):
-        r = like * p[doc]
+    live, rows, at, starts, size = np.arange(len(n)), like, doc, begins, n
+    for step in range(1, STEPS):
+        r = rows * p[live][at]
         r /= r.sum(1, keepdims=True)
-        p = np.add.reduceat(r, begins) / n[:, None]
+        new = np.add.reduceat(r, starts) / size[:, None]
+        moves = np.abs(new - p[live]).max(1) > STILL
+        p[live] = new
+        if not moves.any():
+            break
+        if step % 4 == 0 and moves.mean() < 0.8:
+            rows, live, size = rows[moves[at]], live[moves], size[moves]
+            at, starts = np.repeat(np.arange(len(size)), size), np.concatenate([[0], np.cumsum(size)[:-1]])
     total = (like * p[doc]).sum(1)
     return p, np.add.reduceat(np.log(np.maximum(total, 1e-300)), begins)
 

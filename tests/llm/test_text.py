@@ -437,6 +437,51 @@ def test_language_of_many():
     assert np.allclose(got[1], [0.5, 0.5, 0, 0, 0, 0, 0], atol=0.01)
 
 
+def brute_mixture(logs):
+    """EM by the book until nothing moves, from all languages down, on one document's words."""
+    like = np.exp(logs - logs.max(1, keepdims=True)).astype(float)
+    n, on, best = len(logs), list(range(logs.shape[1])), None
+    while on:
+        p = np.full(len(on), 1 / len(on))
+        for _ in range(20_000):
+            r = like[:, on] * p
+            p, before = (r / r.sum(1, keepdims=True)).mean(0), p
+            if np.abs(p - before).max() < 1e-9:
+                break
+        score = np.log((like[:, on] * p).sum(1)).sum() - 0.5 * np.log(n + 1) * len(on)
+        if best is None or score > best[0]:
+            best = score, {on[k]: p[k] for k in range(len(on))}
+        on.pop(int(p.argmin()))
+    return [best[1].get(k, 0.0) for k in range(logs.shape[1])]
+
+
+def test_mixture_against_brute_force():
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(1, 90, 60)
+    logs = []
+    for n in sizes:
+        truth = rng.dirichlet(np.full(4, 0.4))
+        own = rng.choice(4, n, p=truth)
+        x = rng.normal(-9, 2, (n, 4))
+        x[np.arange(n), own] += rng.normal(5, 3, n)
+        logs.append(x)
+    got = language_id.infer(np.concatenate(logs), sizes)
+    for p, x in zip(got, logs, strict=True):
+        want = np.array(brute_mixture(x))
+        assert np.abs(p - want).max() < 0.02 and p.argmax() == want.argmax()
+
+
+def test_language_repeats_and_long_texts(spark):
+    rng = random.Random(7)
+    found = [(i, spoken(rng, lang, 40), lang, "s") for i in range(90) for lang in [list(ALPHABET)[i % 3]]]
+    model = language_id.fit(language_id.learners(frame(spark, found + found[:9])))
+    long = spoken(rng, "bb", 150_000)
+    odd = [(500, long, None, None), (501, "a" * 2_000_000, None, None), found[0], found[0]]
+    got = language_id.identify(frame(spark, odd), model).collect()
+    assert len(got) == 4 and {r.lang_pred for r in got if r.doc_id == 500} == {"bb"}
+    assert len({(r.lang_pred, r.score) for r in got if r.doc_id == 0}) == 1
+
+
 def test_language_without_learners(spark):
     model = language_id.fit(frame(spark, [(1, None, "en", None), (2, "abc", None, None)]))
     assert [r.lang_pred for r in language_id.identify(frame(spark, [(1, "abc", None, None)]), model).collect()] == ["und"]
