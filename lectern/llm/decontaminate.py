@@ -2,24 +2,27 @@
 
 The automaton holds every run of words of the benchmark items. A document's words are streamed through it; the current
 state and the length of the longest match that ends at a word tell which windows of items end there. Items are taken in
-blocks of a bounded number of words, an automaton each, so a large benchmark costs passes and not memory.
+blocks of a bounded number of words, an automaton each, so a large benchmark costs passes and not memory; the driver sees
+neither items nor matches.
 """
 
 from __future__ import annotations
 
 import hashlib
-import pickle
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import claim, work_path
+from lectern.llm.common import claim, documents, materialise, small, work_path
 from lectern.shipping import map_arrow
 
+#: Words of a text, spans of those that are hit (end exclusive, merged), items.
+Match = tuple[int, list[tuple[int, int]], list[int]]
 WINDOW = 10
 #: Words of items in one automaton; a word takes a few hundred bytes of a worker.
 BLOCK_WORDS = 400_000
@@ -137,53 +140,89 @@ def _automaton(path: str, window: int) -> Automaton:
     if (path, window) not in _held:
         _held.clear()
         store, at = fs.FileSystem.from_uri(path)
-        with store.open_input_stream(at) as f:
-            _held[path, window] = Automaton(pickle.loads(f.read()), window)
+        items: list[tuple[int, list[bytes]]] = []
+        for f in store.get_file_info(fs.FileSelector(at, allow_not_found=True)):
+            if f.path.endswith(".parquet"):
+                with store.open_input_file(f.path) as file:
+                    table = pq.read_table(file, columns=["item_id", "text"])
+                items += [(i, words_of(t)) for i, t in zip(*(table.column(c).to_pylist() for c in ("item_id", "text")), strict=True)]
+        _held[path, window] = Automaton(sorted(items), window)
     return _held[path, window]
 
 
 def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> list[str]:
-    """Writes the items' words to the shared folder, in blocks of about ``most`` words; rows stream past the driver."""
+    """Deals the items to blocks of about ``most`` words (five characters each) in the shared folder; a folder a block."""
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null")
+    n = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // (5 * most)))
     folder = work_path(benchmark.sparkSession, "benchmark")
-    store, base = fs.FileSystem.from_uri(folder)
-    store.create_dir(base, recursive=True)
-    paths: list[str] = []
-    some: list[tuple[int, list[bytes]]] = []
-
-    def flush():
-        with store.open_output_stream(f"{base}/{len(paths)}") as f:
-            f.write(pickle.dumps(some))
-        paths.append(f"{folder}/{len(paths)}")
-        some.clear()
-
-    n = 0
-    rows = benchmark.select(F.col("item_id").cast("long"), "text").where("item_id is not null").orderBy("item_id")
-    for item, text in rows.toLocalIterator():
-        words = words_of(text)
-        if some and n + len(words) > most:
-            flush()
-            n = 0
-        some.append((item, words))
-        n += len(words)
-    flush()
-    return paths
-
-
-def matches(texts: list[str | None], paths: list[str], window: int) -> list[tuple[int, list[tuple[int, int]], list[int]]]:
-    """Words, spans of hit words and items of each text."""
-    words = [words_of(t) for t in texts]
-    spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-    items: list[set[int]] = [set() for _ in texts]
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(n)))
+    dealt.repartition(n, "block").write.partitionBy("block").parquet(folder)
+    return [f"{folder}/block={k}" for k in range(n)]
+
+
+def matches(texts: list[str | None], path: str, window: int) -> list[Match]:
+    """Words, spans of hit words and items of each text, for the items of one block."""
+    known = _automaton(path, window)
+    found = []
+    for w in map(words_of, texts):
+        spans, items = known.match(w)
+        found.append((len(w), _merged(spans), sorted(items, key=str)))
+    return found
+
+
+def _hits(batches: Iterator[pa.RecordBatch], path: str, window: int) -> Iterator[pa.RecordBatch]:
+    """Documents with a hit: doc_id, k, the spans' starts and ends, items."""
+    claim(_held.clear)
+    for b in batches:
+        got = matches(b.column("text").to_pylist(), path, window)
+        rows = [
+            (d, k, [s for s, _ in x], [e for _, e in x], sorted(i))
+            for d, k, (_, x, i) in zip(b.column("doc_id").to_pylist(), b.column("k").to_pylist(), got, strict=True) if i
+        ]
+        cols = zip(*rows, strict=True) if rows else [()] * 5
+        longs = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), longs, longs, longs), strict=True)], ["d", "j", "starts", "ends", "items"])
+
+
+def matched(docs: DataFrame, paths: list[str], window: int, function, schema) -> DataFrame:
+    """``function`` over ``docs`` (doc_id, text, ...) with a way to get at the matches of a batch.
+
+    With one block a document meets the automaton where it is read. With several each block is a pass of its own over the
+    documents, so that a worker builds an automaton once and not once a batch; documents with a hit in any are then put
+    together by id and text, as matches follow from the text alone.
+    """
+    if len(paths) == 1:
+        path = paths[0]
+
+        def one(batches):
+            claim(_held.clear)
+            for b in batches:
+                yield function(b, matches(b.column("text").to_pylist(), path, window))
+
+        return map_arrow(docs, one, schema)
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = docs.select("doc_id", "text", key.alias("k"))
+    kinds = "d long, j long, starts array<long>, ends array<long>, items array<long>"
+    hits = None
     for path in paths:
-        known = _automaton(path, window)
-        for k, w in enumerate(words):
-            got, found = known.match(w)
-            spans[k] += got
-            items[k] |= found
-    return [(len(w), _merged(s), sorted(i, key=str)) for w, s, i in zip(words, spans, items, strict=True)]
+        part = map_arrow(rows, lambda it, path=path: _hits(it, path, window), kinds)
+        hits = part if hits is None else hits.unionByName(part)
+    every = lambda c: F.flatten(F.collect_list(c)).alias(c)
+    hits = materialise(hits.distinct().groupBy("d", "j").agg(*map(every, ("starts", "ends", "items"))), "hits")
+    names = docs.columns
+    both = docs.withColumn("__k", key).join(small(hits), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("__k") == F.col("j")), "left")
+
+    def several(batches):
+        for b in batches:
+            got = []
+            for text, s, e, i in zip(*(b.column(c).to_pylist() for c in ("text", "starts", "ends", "items")), strict=True):
+                got.append((len(words_of(text)), _merged(zip(s or (), e or (), strict=True)), sorted(set(i or ()), key=str)))
+            yield function(b.select(names), got)
 
+    return map_arrow(both.select(*names, "starts", "ends", "items"), several, schema)
 
-def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+
+def _merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
         if out and a <= out[-1][1]:
@@ -206,51 +245,41 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def _report(batches: Iterator[pa.RecordBatch], paths: list[str], window: int) -> Iterator[pa.RecordBatch]:
-    claim(_held.clear)
-    for b in batches:
-        got = matches(b.column("text").to_pylist(), paths, window)
-        yield pa.RecordBatch.from_arrays(
-            [
-                b.column("doc_id"), pa.array([n for n, _, _ in got], pa.int64()),
-                pa.array([sum(e - s for s, e in x) for _, x, _ in got], pa.int64()), pa.array([len(x) for _, _, x in got], pa.int64()),
-                pa.array([hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for _, _, x in got], pa.string()),
-                pa.array([bool(x) for _, x, _ in got], pa.bool_()),
-            ],
-            ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-        )
+def _report(b: pa.RecordBatch, got: list[Match]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [
+            b.column("doc_id"), pa.array([n for n, _, _ in got], pa.int64()),
+            pa.array([sum(e - s for s, e in x) for _, x, _ in got], pa.int64()), pa.array([len(x) for _, _, x in got], pa.int64()),
+            pa.array([hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for _, _, x in got], pa.string()),
+            pa.array([bool(x) for _, x, _ in got], pa.bool_()),
+        ],
+        ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+    )
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """One row per input row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     A null or empty text has no words; an item without words has no window; items with a null id are left out. Repeated
-    rows each give a row. Documents are independent, so nothing is shuffled.
+    rows each give a row, and so do repeated ids; a document may have any length, its words are held once. Other columns
+    are ignored. Without items nothing is hit; an empty table gives an empty result. With one block of items nothing is
+    shuffled, with several the hits are.
     """
-    paths = blocks(benchmark, block_words)
     kinds = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return map_arrow(rows, lambda it: _report(it, paths, window), kinds)
-
-
-def _cleaned(batches: Iterator[pa.RecordBatch], paths: list[str], window: int, most: float) -> Iterator[pa.RecordBatch]:
-    claim(_held.clear)
-    for b in batches:
-        texts = b.column("text").to_pylist()
-        got = matches(texts, paths, window)
-        share = [sum(e - s for s, e in x) / n if n else 0.0 for n, x, _ in got]
-        stay = pa.array([s <= most for s in share])
-        new = pa.array([without(t, x) if x else t for t, (_, x, _) in zip(texts, got, strict=True)], pa.string())
-        at = b.schema.get_field_index("text")
-        yield b.set_column(at, "text", new).filter(stay)
+    return matched(documents(docs, "doc_id", "text"), blocks(benchmark, block_words), window, _report, kinds)
 
 
 def remove(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most: float = 0.5, block_words: int = BLOCK_WORDS
 ) -> DataFrame:
-    """``docs`` with hit spans cut out of ``text``; documents of which more than ``most`` of the words are hit go.
+    """``docs`` (doc_id, text and others) with hit spans cut out of ``text``; documents with more than ``most`` of their words hit go.
 
     Rows without a hit are returned as they are, null and empty texts included.
     """
-    paths = blocks(benchmark, block_words)
-    return map_arrow(docs, lambda it: _cleaned(it, paths, window, most), docs.schema)
+    def cleaned(b: pa.RecordBatch, got: list[Match]) -> pa.RecordBatch:
+        share = [sum(e - s for s, e in x) / n if n else 0.0 for n, x, _ in got]
+        new = [without(t, x) if x else t for t, (_, x, _) in zip(b.column("text").to_pylist(), got, strict=True)]
+        at = b.schema.get_field_index("text")
+        return b.set_column(at, "text", pa.array(new, pa.string())).filter(pa.array([s <= most for s in share], pa.bool_()))
+
+    return matched(docs, blocks(benchmark, block_words), window, cleaned, docs.schema)

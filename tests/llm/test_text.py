@@ -40,7 +40,7 @@ ITEMS = [(1, "alpha Beta gamma delta"), (2, "beta gamma"), (10, "x1 x2 x3 x4 x5
 def test_decontaminate(spark):
     rng = random.Random(5)
     vocabulary = "alpha beta gamma delta x1 x2 x3 x4 x5 x6 x7 été other ALPHA".split()
-    texts = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 60))) for _ in range(60)] + [None, "", "x1 x2, x3-x4 X5. x6 x7 x1", "no hit"]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 60))) for _ in range(60)] + [None, "", "x1 x2, x3-x4 X5. x6 x7 x1", "no hit", "other " * 200_000 + "beta gamma"]
     found = [(i, t, None, None) for i, t in enumerate(texts)] + [(3, texts[3], None, None)]
     bench = spark.createDataFrame([(*r, 9) for r in ITEMS], "item_id long, text string, doc_id long")
     for window in (3, 5):
@@ -51,10 +51,11 @@ def test_decontaminate(spark):
     assert not any(r.n_hit for r in decontaminate.report(frame(spark, found), bench.limit(0)).collect())
 
 
-def test_decontaminate_remove(spark):
-    bench = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
+@pytest.mark.parametrize("block", [400_000, 4])
+def test_decontaminate_remove(spark, block):
+    bench = spark.createDataFrame([(1, "one two three four five six"), (2, "never seen here at all"), (3, "three four five six")], "item_id long, text string")
     found = [(1, "Begin here and go on: One, two three four five six; the end of it all, so far as I know.", None, None), (2, "one two three four five six", None, None), (3, "clean  text", None, None), (4, None, None, None)]
-    got = {r.doc_id: r.text for r in decontaminate.remove(frame(spark, found), bench).collect()}
+    got = {r.doc_id: r.text for r in decontaminate.remove(frame(spark, found), bench, block_words=block).collect()}
     assert got == {1: "Begin here and go on: ; the end of it all, so far as I know.", 3: "clean  text", 4: None}
 
 
