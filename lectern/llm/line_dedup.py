@@ -2,7 +2,7 @@
 
 Lines that occur as often as there must be sites are sketched: a HyperLogLog of sites a line hash, merged by aggregation.
 A line well above the threshold is boilerplate, one well below is not, and only the lines near it get exact counts of
-distinct sites. Lines are known by hash from then on; texts move only for documents that lose a line.
+distinct sites. Lines are known by a hash of 128 bits from then on; texts move only for documents that lose a line.
 """
 
 from __future__ import annotations
@@ -53,13 +53,14 @@ def line_dedup(docs: DataFrame, sites: int = SITES, with_text: bool = False) ->
 
     Lines are what newlines part, compared as they are; a line of spaces alone is never boilerplate. A site is a source,
     null being one of its own. A null text is an empty one, which has one empty line. All occurrences of a boilerplate line
-    go. Repeated rows each give a row; an empty table gives an empty result.
+    go. Texts and lines may have any length; other columns are ignored. Repeated rows each give a row; an empty table gives
+    an empty result.
     """
     rows = documents(docs, "doc_id", "text", "source").withColumn("text", F.coalesce("text", F.lit("")))
     rows = rows.withColumn("k", F.xxhash64("text"))
     site = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))
     lines = rows.select("doc_id", "k", site.alias("site"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    lines = lines.where(F.length(F.trim("line")) > 0).select("doc_id", "k", "site", "at", F.xxhash64("line").alias("h"))
+    lines = lines.where(F.length(F.trim("line")) > 0).select("doc_id", "k", "site", "at", F.unhex(F.md5(F.col("line").cast("binary"))).alias("h"))
     gone = materialise(boilerplate(lines.select("h", "site"), sites), "boilerplate")
     hits = lines.join(small(gone), "h").groupBy("doc_id", "k").agg(F.collect_set("at").alias("at"))
     hits = materialise(hits.select(F.col("doc_id").alias("d"), F.col("k").alias("j"), "at"), "line-hits")
