@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.reference import parse_reference
@@ -69,14 +69,19 @@ def missing_numbers(rows: DataFrame, group: str, number: str) -> DataFrame:
 
 
 def title_matches(wanted: DataFrame, titles: DataFrame, stop: list[str], least: float = 0.5) -> DataFrame:
-    """(wanted, title, share): the title that has most of the wanted keywords, the first one on ties, if at least half.
+    """(wanted, title, share): the title that has most of the wanted keywords, the first one on ties, if at least ``least`` of them.
 
-    Both are (id, text); keywords meet by an equi-join, never by a cross join.
+    Both are (id, text). A title with that share has one of the rarest keywords that are more than the others allow to miss, so
+    only these meet by an equi-join and common keywords make no pairs; the rest is counted on the pairs found.
     """
     words = lambda c: F.array_distinct(F.filter(F.split(fold(c), r"[^\p{L}\p{N}]+"), lambda w: (F.length(w) > 2) & ~w.isin(*stop)))
+    t = titles.select(F.col("id").alias("title"), words(F.col("text")).alias("has"))
+    t = t.select("title", "has", F.explode("has").alias("key"))
+    often = t.groupBy("key").agg(F.count(F.lit(1)).alias("often"))
     w = wanted.select(F.col("id").alias("wanted"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    w = w.select("wanted", F.size("w").alias("n"), F.explode("w").alias("key"))
-    t = titles.select(F.col("id").alias("title"), F.explode(words(F.col("text"))).alias("key"))
-    share = w.join(t, "key").groupBy("wanted", "title", "n").agg(F.count(F.lit(1)).alias("k")).withColumn("share", F.col("k") / F.col("n"))
+    w = w.select("wanted", "w", F.explode("w").alias("key")).join(often, "key")
+    nth = F.row_number().over(Window.partitionBy("wanted").orderBy("often", "key"))
+    rare = w.withColumn("nth", nth).where(F.col("nth") <= F.size("w") - F.ceil(F.size("w") * least) + 1)
+    share = rare.join(t, "key").select("wanted", "title", (F.size(F.array_intersect("w", "has")) / F.size("w")).alias("share"))
     best = share.groupBy("wanted").agg(F.max(F.struct("share", (-F.col("title")).alias("first"))).alias("b"))
     return best.where(F.col("b.share") >= least).select("wanted", (-F.col("b.first")).alias("title"), F.col("b.share").alias("share"))

@@ -151,6 +151,23 @@ def test_gloss_resolution(spark):
     assert got == {"a": ("gloss", 2), "b": ("gloss", 1), "c": ("gloss", 0), "x": (None, None), "y": (None, None), "z": (None, None)}
 
 
+@pytest.mark.parametrize("least", [0.5, 0.7, 1.0])
+def test_title_matches_against_brute_force(spark, least):
+    rng = random.Random(5)
+    words = ["the", *(f"word{k}" for k in range(9)), "common"]
+    texts = lambda n: [(k, " ".join(rng.sample(words, rng.randint(1, 5)) + ["common"] * (rng.random() < 0.8))) for k in range(n)]
+    wanted, titles = texts(25), texts(30)
+    keys = lambda t: {w for w in t.split(" ") if len(w) > 2 and w != "the"}
+    want = {}
+    for i, t in wanted:
+        k = keys(t)
+        best = max(((len(k & keys(u)) / len(k), -j) for j, u in titles), default=None) if k else None
+        if best and best[0] >= least:
+            want[i] = (-best[1], round(best[0], 9))
+    w, t = (spark.createDataFrame(x, "id int, text string") for x in (wanted, titles))
+    assert {r.wanted: (r.title, round(r.share, 9)) for r in search.title_matches(w, t, ["the"], least).collect()} == want
+
+
 def test_titles(spark):
     a = spark.createDataFrame([("q1", 2), ("q1", 3), ("q2", 1)], "group string, number int")
     lists = spark.createDataFrame([("q1", ["x", "utrum Y", "an Z"])], "group string, items array<string>")
