@@ -17,6 +17,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document's largest language must have this share of it, and known words, of any language, that share of its words;
 #: bilingual documents stay, texts that no language explains go.
 LANGUAGE_SCORE, KNOWN_SHARE = 0.33, 0.33
+#: Pieces of text that a worker remembers in the last stage, where executors hold what four stages have left them.
+TOKEN_MEMORY = 350_000
 #: A document of which more than this share lies in benchmark passages goes as a whole.
 HIT_SHARE = 0.5
 
@@ -81,7 +83,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copy is written. Whole texts are encoded, other columns are ignored. An empty table gives an empty one.
     """
     folder = work_path(spark, "pipeline-tokens")
-    shards = token_output.write_tokens(docs, tokenizer_path(), folder, end_id=0)
+    shards = token_output.write_tokens(docs, tokenizer_path(), folder, end_id=0, memory=TOKEN_MEMORY)
     return token_output.read_tokens(spark, folder, shards)
 
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,16 +20,18 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def work_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one where that is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one where that is unset on a local master."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lectern-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder; removed when the driver's Python ends."""
+    """A new path under the shared folder; removed by ``drop``, or when the driver's Python ends."""
     path = f"{work_root(spark)}/lectern/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     if not _made:
         atexit.register(clean)
@@ -35,24 +39,38 @@ def work_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def clean() -> None:
     """Removes the intermediate tables of this process."""
     for spark, path in _made:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may have ended; the folder is temporary anyway
             pass
     _made.clear()
 
 
+def drop(*tables: DataFrame | None) -> None:
+    """Removes tables that ``materialise`` made and that no plan reads any more."""
+    for df in tables:
+        path = getattr(df, "_lectern_path", None)
+        if path is not None:
+            _delete(df.sparkSession, path)
+            _made[:] = [m for m in _made if m[1] != path]
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back: lineage ends here, rows and ids are fixed."""
     spark = df.sparkSession
     path = work_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lectern_path = path
+    return out
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -78,9 +96,18 @@ def claim(clear) -> None:
     global _owner
     if _owner is not None and _owner != clear:
         _owner()
+        _give_back()
     _owner = clear
 
 
+def _give_back() -> None:
+    """Returns what was freed to the system, where the C library can; else it stays with this worker."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def nothing() -> None:
     """For operators that remember nothing."""
 

@@ -23,12 +23,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import claim, documents, materialise, partitions
+from lectern.llm.common import claim, documents, drop, materialise, partitions
 from lectern.shipping import map_arrow
 
 COORDS, START, DEEPEST = 128, 4, 10
 #: Trees that are searched between one labelling and the next; 24 in all.
-TURNS = (1, 4, 19)
+TURNS = (1, 23)
 #: A set weighs one, and one more for every UNIT shingles; sets of BLOCK in weight, 4 kB each, are compared in one task.
 UNIT, BLOCK = 512, 2048
 MEMO = 400_000
@@ -214,11 +214,13 @@ def components(edges: DataFrame) -> DataFrame:
         return e.select(F.col("u"), F.col("m").alias("w")).distinct()
 
     edges = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("w")).distinct()
-    sign = None
+    sign = last = None
     while True:
         both = edges.unionByName(edges.select(F.col("w").alias("u"), F.col("u").alias("w")))
         large = spread(both, False)
         edges = materialise(spread(large, True), "stars")
+        drop(last)
+        last = edges
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "w") % (1 << 40))).first()
         if now == sign:
             break
@@ -258,16 +260,20 @@ class _Search:
             return
         if self.labels is None:
             self.labels = materialise(components(links), "labels")
+            drop(links)
             return
         over = self.label(self.label(links, "a", "x"), "b", "y").select(F.col("x").alias("a"), F.col("y").alias("b"))
         heads = materialise(components(over), "over")
         old = self.labels.join(heads.select(F.col("v").alias("label"), F.col("label").alias("new")), "label", "left")
         new = heads.join(self.labels.select("v"), "v", "left_anti")
+        done = self.labels
         self.labels = materialise(old.select("v", F.coalesce("new", "label").alias("label")).unionByName(new), "labels")
+        drop(links, heads, done)
 
     def turn(self, rows: DataFrame) -> None:
         """Compares the nodes (node, v, w) that are small enough, and sends the sets of the others on."""
         rows = self.mixed(rows)
+        made = [rows]
         leaves = rows.where(F.col("whole") <= BLOCK).select("node", "v", "label")
         for depth in range(START, DEEPEST + 1):
             large = rows.where(F.col("whole") > BLOCK)
@@ -279,8 +285,10 @@ class _Search:
                 break
             on = large.select("node", "v", "w").join(self.sets.select("v", "sketch"), "v")
             rows = self.mixed(map_arrow(on.select("node", "v", "w", "sketch"), _branches, "node long, v long, w long").distinct())
+            made.append(rows)
             leaves = leaves.unionByName(rows.where(F.col("whole") <= BLOCK).select("node", "v", "label"))
         self.compare(leaves.select(F.col("node").alias("block"), "v", "label", F.lit(True).alias("odd")))
+        drop(*made)
 
     def close(self, large: DataFrame) -> None:
         """Compares what is not of the commonest component of its node (node, v, w) with all sets there, in blocks.
@@ -338,6 +346,7 @@ def near_dedup(docs: DataFrame, percent: int = 80, turns: tuple[int, ...] = TURN
     large = roots.where(F.col("all") > BLOCK).select("node", "v", "w")
     if not large.isEmpty():
         search.close(large)
+    drop(roots, full)
 
     labelled = search.label(sets.select("v", "same", "doc_id"))
     least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))

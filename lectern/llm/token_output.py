@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import claim, documents, partitions
+from lectern.llm.common import claim, documents, nothing, partitions
 from lectern.shipping import map_arrow
 
 MAGIC = b"LTK1"
@@ -35,8 +35,9 @@ ROW = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("length",
 FOOT = struct.Struct("<QQQ4s")
 #: Documents and bytes of them that the dictionary is trained on; it changes sizes, never ids.
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1500, 4_000_000, 64 * 1024
-#: Distinct pieces that a worker remembers (about 140 bytes each; more would double the table's size), and the length of those that stay when there are more.
-MEMO, FREQUENT = 1_200_000, 6
+#: Distinct pieces that a worker remembers (about 140 bytes each; more would double the table's size), and the length of those
+#: that stay when there are more; documents and characters that are encoded at once.
+MEMO, FREQUENT, DOCS, AT_ONCE = 1_200_000, 6, 1000, 4_000_000
 
 _encoders: dict[str, Encoder] = {}
 
@@ -49,7 +50,7 @@ class Encoder:
     tokenizer get whole texts.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = MEMO):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -69,6 +70,7 @@ class Encoder:
         self.spaced = np.array(begins if self.cuts else [], bool)
         self.width = 2 if self.library.get_vocab_size() <= 65_536 else 4
         self.known: dict[str, bytes] = {}
+        self.memory = memory
         self.odd = re.compile(r" (?:\s|\Z)").search
         self.cut = re.compile(r"(?= \S)").split
 
@@ -94,16 +96,16 @@ class Encoder:
             for t in texts:
                 yield from self._plain([t])
             return
-        for some in _by_size(texts, 4_000_000):
+        for some in _by_size(texts, AT_ONCE):
             odd = [self.odd(t) is not None for t in some]
             # a piece stands for itself with a space before it; the first of a text and those of odd texts are as they are, behind a space as a mark
-            pieces = [
-                [" " + p for p in self.cut(t)] if o else (lambda p: [" " + p[0], *p[1:]])(t.split(" "))
-                for t, o in zip(some, odd, strict=True)
-            ]
-            if len(self.known) > MEMO:
+            pieces = [[" " + p for p in self.cut(t)] if o else t.split(" ") for t, o in zip(some, odd, strict=True)]
+            for p, o in zip(pieces, odd, strict=True):
+                if not o:
+                    p[0] = " " + p[0]
+            if len(self.known) > self.memory:
                 self.known = {p: b for p, b in self.known.items() if len(p) <= FREQUENT}
-                if len(self.known) > MEMO // 2:
+                if len(self.known) > self.memory // 2:
                     self.known.clear()
             new = list(set().union(*pieces).difference(self.known))
             first, rest = [p for p in new if p[:1] == " "], [p for p in new if p[:1] != " "]
@@ -125,9 +127,9 @@ def _by_size(texts: list[str], most: int) -> Iterator[list[str]]:
         yield some
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, memory: int = MEMO) -> Encoder:
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, memory)
     return _encoders[path]
 
 
@@ -155,17 +157,17 @@ def _narrow(ids: bytes, width: int) -> bytes:
     return np.frombuffer(ids, "<u4").astype("<u2").tobytes() if width == 2 else ids
 
 
-def _write_shard(batches: Iterator[pa.RecordBatch], tokenizer: str, folder: str, dictionary: bytes, end_id: int):
+def _write_shard(batches: Iterator[pa.RecordBatch], tokenizer: str, folder: str, dictionary: bytes, end_id: int, memory: int):
     import zstandard
 
     claim(_encoders.clear)
-    enc, digest, ctx = encoder(tokenizer), hashlib.sha256(dictionary).digest(), TaskContext.get()
+    enc, digest, ctx = encoder(tokenizer, memory), hashlib.sha256(dictionary).digest(), TaskContext.get()
     press = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
     store, base = fs.FileSystem.from_uri(folder)
     part, tail = ctx.partitionId(), np.asarray([end_id], "<u4").tobytes()
     name, temp = f"{base}/shard-{part:06d}.ltk", f"{base}/.shard-{part:06d}-{ctx.taskAttemptId()}"
     out, rows, at, total = None, [], HEAD.size, 0
-    for batch in batches:
+    for batch in (b.slice(k, DOCS) for b in batches for k in range(0, b.num_rows, DOCS)):
         ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
         for doc_id, b in zip(ids, enc.encode(texts), strict=True):
             if out is None:
@@ -184,12 +186,13 @@ def _write_shard(batches: Iterator[pa.RecordBatch], tokenizer: str, folder: str,
         yield pa.RecordBatch.from_pylist([{"part": part, "name": name.rsplit("/", 1)[1], "docs": len(rows), "ids": total}])
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0) -> list[dict]:
+def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, memory: int = MEMO) -> list[dict]:
     """Writes the ids of every whole text, then ``end_id``, in ascending doc_id order, to ``folder``; returns the manifest.
 
     The manifest has a row a shard: part, name, docs, ids, start (ids in all shards before it). It is also written, as
     manifest.json. A null or empty text has the end id alone; null ids come first; rows of one id are ordered by a hash
-    of their text, and all are written. An empty table gives no shard. Documents are dealt by sampled ranges of the id.
+    of their text, and all are written. ``memory``: pieces of text that a worker remembers, about 140 bytes each; it changes
+    speed alone. Whole texts are encoded, other columns are ignored. An empty table gives no shard. Documents are dealt by sampled ranges of the id.
     """
     spark = docs.sparkSession
     rows = documents(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
@@ -200,7 +203,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0)
         f.write(dictionary)
     rows = rows.withColumn("h", F.xxhash64("text"))
     rows = rows.repartitionByRange(partitions(spark), "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    told = map_arrow(rows, lambda it: _write_shard(it, tokenizer, folder, dictionary, end_id), "part long, name string, docs long, ids long"
+    told = map_arrow(rows, lambda it: _write_shard(it, tokenizer, folder, dictionary, end_id, memory), "part long, name string, docs long, ids long"
     )
     shards, start = [], 0
     for r in sorted(told.collect(), key=lambda r: r["part"]):  # a row a shard
@@ -236,6 +239,7 @@ def read_shard(folder: str, name: str) -> Iterator[tuple[int | None, np.ndarray]
 
 
 def _read_shards(batches: Iterator[pa.RecordBatch], folder: str, with_ids: bool):
+    claim(nothing)  # what the encoder remembered goes here, before other work starts
     schema = pa.schema(
         [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())]
         + [("ids", pa.list_(pa.int64()))] * with_ids
