@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import headings, labels, tags
 from lectern.functions.drills import picks
+from lectern.functions.text import upper
 from lectern.operators import course, lexicon, library, quality
 from lectern.sources import sql
 from lectern.sources.tables import passages, table
@@ -218,7 +219,7 @@ def probe_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines against their documents; those of every fifth document are in capitals, and so not found."""
     p = passages(spark, sf_dir).select(F.col("work_id").alias("work"), "pos", "text")
     out = p.groupBy("work").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("t")).select("work", F.array_join("t.text", " ").alias("text"))
-    lines = p.select("work", F.col("pos").alias("id"), F.when(F.col("work") % 5 == 0, F.upper("text")).otherwise(F.col("text")).alias("text"))
+    lines = p.select("work", F.col("pos").alias("id"), F.when(F.col("work") % 5 == 0, upper(F.col("text"))).otherwise(F.col("text")).alias("text"))
     return quality.probe_accounting(lines, out, ["no such line"], ["The"])
 
 

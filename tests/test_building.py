@@ -1,3 +1,4 @@
+import duckdb
 from pyspark.sql import functions as F
 
 from lectern import catalog
@@ -83,6 +84,18 @@ def test_accounting_and_order(spark):
     assert {r.g: r.contiguous for r in quality.contiguous(rows, "g", "n").collect()} == {"a": True, "b": True}
 
 
+def test_probe_accounting_of_sharp_s(spark, tmp_path):
+    """A line of 39 characters in capitals is still short, one of 40 isn't."""
+    line = "In enßie beachein schenber en erlichzu."
+    docs = [(5, f"{line}\n{line}x\n{line[:-3]}ŉǰ"), (6, line), (10, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'de' AS lang", "'s' AS source").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, catalog.queries()["probe_accounting"](spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == sorted(con.execute(catalog.oracle_sql()["probe_accounting"]).fetchall())
+    assert got == [(5, 0, "short"), (5, 1, "missing"), (5, 2, "short"), (6, 0, "short")]
+
+
 def test_dictionary_files(spark, tmp_path):
     (tmp_path / "d.xml").write_text("<TEI><entryFree id='n1' key='amo' type='hapax'><sense>love</sense><sense> like </sense></entryFree><entryFree id='n2' key='amo' type='main'><sense>x</sense></entryFree><entryFree id='n3'/></TEI>")
     e = corpus.read_dictionary(spark, str(tmp_path / "d.xml"))

@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -207,3 +208,11 @@ def test_sentences_keep_their_digits(spark):
     rows = [("0 a. 1. 2 b 2;  c 3! 44 d 4? 5 e", None), (" x y ", None), ("", None), (None, None)]
     got = values(spark, rows, text.sentences(F.col("a")))
     assert got == [(["0 a.", "1.", "2 b 2;", "c 3!", "44 d 4?", "5 e"],), (["x y"],), ([],), (None,)]
+
+
+def test_upper_keeps_lengths(spark):
+    """As DuckDB's upper: letters whose full upper case is longer have their simple one, or none."""
+    rows = ["Größe", "ß", "ungäß\nie", "ŉ ǰ ﬁ ΐ", "ᾳ ᾼ ᾠ", "plain ǆ", "", None]
+    got = [g[0] for g in values(spark, [(r, None) for r in rows], text.upper(F.col("a")))]
+    assert got == [duckdb.execute("SELECT upper(?)", [r]).fetchone()[0] for r in rows]
+    assert got[0] == "GRÖ\u1e9eE"
