@@ -18,7 +18,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: bilingual documents stay, texts that no language explains go.
 LANGUAGE_SCORE, KNOWN_SHARE = 0.33, 0.33
 #: Pieces of text that a worker remembers in the last stage, where executors hold what four stages have left them.
-TOKEN_MEMORY = 350_000
+TOKEN_MEMORY = 200_000
 #: A document of which more than this share lies in benchmark passages goes as a whole.
 HIT_SHARE = 0.5
 

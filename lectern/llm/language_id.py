@@ -22,7 +22,7 @@ from lectern.shipping import map_arrow
 SLOTS = 1 << 15
 #: Documents a language that the model is fitted on, about: all if there are fewer, else those of the smallest text hashes.
 FIT_DOCS = 3000
-WORDS_AT_ONCE, MEMO = 300_000, 300_000
+WORDS_AT_ONCE, MEMO = 100_000, 150_000
 #: A proportion that a step moves by less stands still; steps of a document whose likelihood is flat.
 STILL, STEPS = 1e-4, 1000
 #: A word is known if its mean log-likelihood a trigram in some language is above this point between the mean of the
@@ -182,7 +182,7 @@ def predict(texts: list[str | None], langs: list[str], known: Words) -> Iterator
 def _predicted(batches: Iterator[pa.RecordBatch], langs: list[str], table: np.ndarray) -> Iterator[pa.RecordBatch]:
     claim(nothing)
     known = Words(table)
-    for b in batches:
+    for b in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
         got = list(predict(b.column("__text").to_pylist(), langs, known))
         cols = [pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.string(), pa.float64()))]
         keep = [b.column(k) for k in range(b.num_columns - 1)]

@@ -37,7 +37,7 @@ FOOT = struct.Struct("<QQQ4s")
 SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 1500, 4_000_000, 64 * 1024
 #: Distinct pieces that a worker remembers (about 140 bytes each; more would double the table's size), and the length of those
 #: that stay when there are more; documents and characters that are encoded at once.
-MEMO, FREQUENT, DOCS, AT_ONCE = 1_200_000, 6, 1000, 4_000_000
+MEMO, FREQUENT, DOCS, AT_ONCE = 1_200_000, 6, 1000, 1_000_000
 
 _encoders: dict[str, Encoder] = {}
 
