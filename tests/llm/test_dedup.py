@@ -9,7 +9,9 @@ from fixtures import frame, prose, rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lectern.llm import line_dedup, near_dedup, suffix_dedup
+from pyspark.sql import functions as F
+
+from lectern.llm import common, line_dedup, near_dedup, suffix_dedup
 from lectern.llm.exact_dedup import exact_dedup
 
 
@@ -111,6 +113,66 @@ def test_suffix_group_sizes(spark, n):
     assert got == want and (n < 17 or any(w[2] for w in want))
 
 
+def shuffled(spark, work):
+    """Bytes of shuffle that ``work`` writes."""
+    sc = spark.sparkContext
+    sc.setJobGroup("shuffled", "shuffled")
+    done = set(sc.statusTracker().getJobIdsForGroup("shuffled"))
+    try:
+        work()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    jobs = set(sc.statusTracker().getJobIdsForGroup("shuffled")) - done
+    stages = {i for j in jobs for i in sc.statusTracker().getJobInfo(j).stageIds}
+    return sum(sc._jsc.sc().statusStore().lastStageAttempt(i).shuffleWriteBytes() for i in stages)
+
+
+@pytest.mark.parametrize("broadcast", [0, 200_000])
+def test_suffix_shuffles_texts_that_lose(spark, monkeypatch, broadcast):
+    """Texts that lose nothing stay where they are, and how the others meet their spans is the same at any size."""
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_ROWS", broadcast, raising=False)
+    rng = random.Random(5)
+    texts = [f"{i} " + "".join(rng.choices("0123456789abcdef", k=20_000)) for i in range(120)]
+    texts[7] += texts[9][:500]
+    found = [(i, t, None, None) for i, t in enumerate(texts)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = []
+        size = shuffled(spark, lambda: out.append(suffix_dedup.suffix_dedup(frame(spark, found))) or out.append(out[0].select("doc_id", "n_removed").collect()))
+        plan = out[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert {r.doc_id: r.n_removed for r in out[1] if r.n_removed} == {7: 500, 9: 500}
+    assert "Broadcast" not in plan
+    assert size < 0.5 * sum(map(len, texts))
+
+
+@pytest.mark.parametrize("words", [1, 1 << 21])
+def test_suffix_ids_and_sieve(spark, monkeypatch, words):
+    """Ids that are null, repeated or 0, equal texts among them; a sieve that is full lets texts through, no more."""
+    monkeypatch.setattr(common, "SIEVE_WORDS", words)
+    rng = random.Random(6)
+    passage, long = prose(rng, 30), prose(rng, 60)
+    changed = long[:150] + "#" + long[151:]
+    texts = [(None, passage), (None, passage), (0, passage), (3, long), (3, changed), (3, long), (None, changed + " more"), (0, None), (4, prose(rng, 80))]
+    found = [(*t, None, None) for t in texts]
+    want = collections.Counter((r[0], *w) for r, w in zip(found, brute_repeats([(r[1] or "").encode() for r in found], 48), strict=True))
+    got = collections.Counter(tuple(r)[:5] for r in suffix_dedup.suffix_dedup(frame(spark, found), 48, 8).collect())
+    assert got == want
+
+
+@pytest.mark.parametrize(("words", "wrong"), [(1, 1.0), (1 << 21, 0.03)])
+def test_sieve(spark, monkeypatch, words, wrong):
+    monkeypatch.setattr(common, "SIEVE_WORDS", words)
+    ids = spark.range(20_000).select((F.col("id") < 3000).alias("there"), F.xxhash64("id").alias("h")).localCheckpoint()
+    may = F.arrow_udf(common.sieve(ids.where("there"), "h"), "boolean")
+    got = ids.select("there", may("h").alias("may")).toPandas()
+    assert got["may"][got["there"]].all() and got["may"][~got["there"]].mean() <= wrong
+    assert not ids.where(F.arrow_udf(common.sieve(ids.where("false"), "h"), "boolean")("h")).count()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.binary(min_size=4, max_size=14), min_size=1, max_size=30))
 def test_blind_trie(strings):
